@@ -1,0 +1,34 @@
+"""Registered queries of the text-encoding engine and their DuckDB oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def query(oracle: str | None = None):
+    """Register a query under its function's name."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("""
+WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[0-9A-Za-z_]+|[^0-9A-Za-z_\\t\\n\\f\\r ]+')) AS word FROM documents)
+SELECT lang, word AS token, count(*) AS n FROM w GROUP BY ALL
+""")
+def token_frequency_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([0-9A-Za-z_]+|[^0-9A-Za-z_\t\n\f\r ]+)")))
+    return table(spark, sf_dir, "documents").select("lang", words.alias("token")).groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))

@@ -1,13 +1,72 @@
-"""A corpus pipeline of five stages: quality, near-duplicates, personal data, mixing, packing."""
+"""A corpus pipeline of five stages: quality, near-duplicates, personal data, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before
+kept.  Its result is written as Parquet in the shared folder and read again, so
+a stage never recomputes those before it.  All but the last stage return the
+columns of ``documents``; the last returns one row for each packed piece.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphflow.llm import minhash, mixing, packing, pii, quality
+from glyphflow.llm.queries import table, tokenizer_path
+from glyphflow.llm.scratch import materialize
+
+#: Documents that score lower are rejected.
+MIN_QUALITY = 0.3
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is at least MIN_QUALITY; trees are grown from the labelled ones among them."""
+    labels = table(spark, sf_dir, "labels").where(quality.fold("doc_id", 5) != 0)
+    model = quality.train(docs, labels)
+    return quality.score(docs, model, out_col="_score").where(F.col("_score") >= MIN_QUALITY).drop("_score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: its smallest id, once."""
+    found = minhash.near_duplicates(docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text"))).select(F.col("doc_id"), "text"))
+    gone = materialize(found.where(~F.col("kept")).groupBy(F.col("doc_id").alias("_gone")).agg(F.count(F.lit(1)).alias("_n")), "gone")
+    kept = materialize(found.where("kept").select(F.col("doc_id").alias("_one")).where(F.col("_one").isNotNull()).join(gone, F.col("_one") == F.col("_gone"), "left_semi"), "kept")
+    rest = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    if kept.isEmpty():
+        return rest
+    # an id that occurs more than once, with a kept row among its rows
+    again = docs.join(kept, docs["doc_id"] == F.col("_one"), "left_semi").dropDuplicates(["doc_id"])
+    return rest.unionByName(again)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every identifier replaced by its kind."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 2048 tokens."""
+    return packing.pack(packing.cut(docs, tokenizer_path()))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", redact_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 #: Trees, dart signatures and packing have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, quality
+from . import minhash, mixing, packing, pii, quality
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict = {"op10_mixing": mixing.ORACLE}
 
 
 def query(f):
@@ -33,3 +33,25 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", "kept")
+
+
+def tokenizer_path(name: str = packing.TOKENIZER) -> str:
+    """Place of a public tokenizer's file; found on the driver, passed on as a parameter."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.cut(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()))
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))

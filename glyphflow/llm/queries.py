@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, pii, quality
+from . import fingerprints, langid, licenses, minhash, mixing, packing, pii, quality
 
 QUERIES: dict = {}
 ORACLES: dict = {"op10_mixing": mixing.ORACLE}
@@ -55,3 +55,21 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+@query
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), quality.fold("doc_id", 3) == 1
+    model = langid.train(docs.where(~held_out).select("doc_id", "text", "lang"))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(table(spark, sf_dir, "documents").select("doc_id", "text"))

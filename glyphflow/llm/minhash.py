@@ -10,12 +10,11 @@ share a band key are candidates, compared by exact Jaccard similarity of their
 shingle sets.
 
 Copies are folded first: rows with equal word sequences form one class with one
-representative, and only representatives are banded.  Buckets are never expanded
-into all pairs: members are compared with a pivot, then only members of different
-components go on, with growing shares of the bucket and pruned by the triangle
-inequality of Jaccard distance (two members whose distances from the pivot differ
-by more than 1 - t can't be similar).  No similar pair of one bucket is left in
-two components.
+representative, and only representatives are banded.  A bucket's members are
+compared with its pivot; buckets that this leaves in several components are then
+compared in pairs of blocks, whose tasks return a spanning forest of the links
+found and never the pairs.  No similar pair of one bucket is left in two
+components.
 
 Defined results: null text counts as empty; all texts without a word form one
 class; repeated rows (equal doc_id) form one output row each and share a class;
@@ -31,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .components import components
-from .scratch import materialize
+from .components import components, forest
+from .scratch import materialize, release
 
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
+#: Members of a bucket that are compared at once with as many others.
+BLOCK_ROWS = 512
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -134,45 +135,83 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_links(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b, sim) links between representatives (rep, bands, grams); enough of them to span every class of linked texts.
+    """(a, b) links between representatives (rep, bands, grams); enough of them to span every class of linked texts.
 
-    First every member of a bucket is compared with the bucket's pivot.  Then buckets that hold members of several
-    components are swept: members outside the bucket's largest component are compared with growing, hash-chosen shares
-    of the members of other components, until the shares have covered the bucket.  Sweeps end when one adds no link.
+    First every member of a bucket is compared with the bucket's pivot.  Then buckets that still hold members of
+    several components are compared block by block, and every block pair returns a spanning forest of its links.
     """
-    far = 1 - similarity
     exploded = reps.select(F.explode("bands").alias("bucket"), "rep").distinct()
     size = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).where("n > 1")
     member = materialize(exploded.join(size, "bucket"), "buckets")
     first = member.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    sims = materialize(_compare(first, reps), "similarities")
-    links = sims.where(F.col("sim") >= similarity)
-    known = member.join(sims.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "sim"), ["pivot", "rep"], "left")
-    place = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n")
-    member = materialize(known.select("bucket", "rep", "n", place.alias("place"), F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(1 - F.col("sim")).alias("d")), "buckets")
-    low, high, news, named = 0, 4, False, None
-    while True:
-        if named is None:
-            comp = components(links).select(F.col("id").alias("rep"), F.col("component").alias("c"))
-            named = member.join(comp, "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-            parts = named.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"))
-            mixed = parts.groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("main"), (F.sum("k") - F.max("k")).alias("rest")).where("rest > 0")
-            named = materialize(named.join(mixed, "bucket"), "mixed")
-            most = named.agg(F.max("n")).first()[0]
-        if most is None:
-            return links
-        x = named.where("c <> main").select("bucket", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("d").alias("dx"))
-        y = named.where((F.col("place") >= low) & (F.col("place") < high)).select("bucket", F.col("rep").alias("y"), F.col("c").alias("cy"), F.col("d").alias("dy"))
-        pairs = x.join(y, "bucket").where((F.col("cx") != F.col("cy")) & (F.abs(F.col("dx") - F.col("dy")) <= far + 1e-9))
-        more = materialize(_compare(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), reps).where(F.col("sim") >= similarity), "links")
-        if not more.isEmpty():
-            links, news, named = materialize(links.unionByName(more), "links"), True, None
-        if high > most:
-            if not news:
-                return links
-            low, high, news = 0, most + 1, False  # once more over all that is left: components have changed meanwhile
-        else:
-            low, high = high, high * 8
+    links = materialize(_compare(first, reps).where(F.col("sim") >= similarity).select("a", "b"), "links")
+    comp = components(links).select(F.col("id").alias("rep"), F.col("component").alias("c"))
+    named = materialize(member.join(comp, "rep", "left").select("bucket", "rep", "n", F.coalesce("c", "rep").alias("c")), "named")
+    release(member)
+    mixed = named.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
+    more = materialize(_compare_blocks(named.join(mixed, "bucket"), reps, similarity), "more")
+    release(named)
+    return links.unionByName(more)
+
+
+def _compare_blocks(named: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members (bucket, rep, n, c) of one bucket and different components, as spanning forests.
+
+    A bucket is cut into blocks of BLOCK_ROWS members by hash, and every pair of blocks is a task's unit of work: no
+    unit grows with the bucket, and the links found are summed up where they are found.
+    """
+    parts = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    rows = named.withColumn("p", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("bucket", F.least("p", "q").alias("p1"), F.greatest("p", "q").alias("p2"), "rep", "c", "p").join(reps.select("rep", "grams"), "rep")
+    n = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = rows.repartition(n, "bucket", "p1", "p2").sortWithinPartitions("bucket", "p1", "p2")
+
+    def compare(batches):
+        rest = None
+
+        def heads(table: pa.Table) -> np.ndarray:
+            key = np.column_stack([table[c].to_numpy().astype(np.int64) for c in ("bucket", "p1", "p2")])
+            return np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+
+        def work(table: pa.Table):
+            if not table.num_rows:
+                return
+            head = heads(table)
+            rep, comp, p = (table[c].to_numpy() for c in ("rep", "c", "p"))
+            grams = table["grams"].combine_chunks()
+            size, flat = grams.value_lengths().to_numpy(), grams.flatten().to_numpy()
+            start, out = np.cumsum(size) - size, []
+            for a, b in zip(head.tolist(), [*head[1:].tolist(), len(rep)], strict=True):
+                if (comp[a:b] == comp[a]).all():
+                    continue
+                # grams of one member only add to no intersection
+                own = flat[start[a] : start[b - 1] + size[b - 1]]
+                code, times = np.unique(own, return_inverse=True, return_counts=True)[1:]
+                shared = np.cumsum(times > 1) - 1
+                keep = times[code] > 1
+                has = np.zeros((b - a, int((times > 1).sum())), dtype=np.float32)
+                has[np.repeat(np.arange(b - a), size[a:b])[keep], shared[code[keep]]] = 1
+                i = np.flatnonzero(p[a:b] == p[a])
+                j = np.flatnonzero(p[a:b] != p[a])
+                j = j if len(j) else i
+                both = has[i] @ has[j].T
+                union = size[a:b][i][:, None] + size[a:b][j][None, :] - both
+                ok = (both >= similarity * union - 1e-6) & (comp[a:b][i][:, None] != comp[a:b][j][None, :])
+                x, y = np.nonzero(ok)
+                out += forest(rep[a:b][i[x]], rep[a:b][j[y]])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if table.num_rows:
+                last = int(heads(table)[-1])  # this unit may go on in the next batch; it has at most two blocks
+                yield from work(table.slice(0, last))
+                rest = table.slice(last).combine_chunks()
+        if rest is not None:
+            yield from work(rest)
+
+    return rows.select("bucket", "p1", "p2", "p", "rep", "c", "grams").mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -186,6 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = table.select(F.col("row_id").alias("first_row"), "bands", "grams").where(F.size("grams") > 0).join(classes, "first_row").select("rep", "bands", "grams")
     reps = materialize(reps, "representatives")
     comp = components(near_links(reps, similarity))
+    release(reps)
     classes = classes.join(comp.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left").select("d1", "d2", F.coalesce("c", "rep").alias("class_id"), "first_row", "rep")
     out = named.select("row_id", "doc_id", "d1", "d2").join(classes, ["d1", "d2"])
     return out.select("row_id", "doc_id", "class_id", ((F.col("row_id") == F.col("first_row")) & (F.col("rep") == F.col("class_id"))).alias("kept"))

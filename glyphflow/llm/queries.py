@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, lattice, licenses, minhash, mixing, packing, pii, quality
+from . import chaining, fingerprints, langid, lattice, licenses, minhash, mixing, packing, pii, quality
 
 QUERIES: dict = {}
 ORACLES: dict = {"op10_mixing": mixing.ORACLE}
@@ -78,3 +78,8 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op8_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))

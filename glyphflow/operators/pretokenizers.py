@@ -21,8 +21,8 @@ from glyphflow.operators.normalizers import is_punctuation
 #: Stands between pieces while a column is being split; it is dropped from the text first.
 MARK = "\x01"
 PUNCTUATION = r"[!-/:-@\[-`{-~\p{P}]"
-# Fixed value: the pattern of byte-level pieces.
-BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+# Fixed value: the pattern of byte-level pieces; white space that no piece takes stays whole between them.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
 
 
 def byte_chars() -> dict[int, str]:

@@ -1,21 +1,38 @@
-"""Registered queries of the text-encoding engine and their DuckDB oracles."""
+"""Registered queries of the text-encoding engine and their DuckDB oracles.
+
+Queries over pieces return, for each document, their number and a digest of them in
+order, so that results stay small while every piece of every text is compared.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphflow.operators import decoders as D
+from glyphflow.operators import encodings as E
+from glyphflow.operators import models as M
+from glyphflow.operators import normalizers as N
+from glyphflow.operators import pretokenizers as T
+from glyphflow.operators import processors as R
+from glyphflow.operators.added_tokens import AddedToken
+from glyphflow.operators.training import BpeTrainer, WordPieceTrainer, alphabet, pair_counts, word_counts
+from glyphflow.plans.pipeline import Pipeline
+from glyphflow.sources.vocab import vocab_from_counts
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+WORDS = r"[0-9A-Za-z_]+|[^0-9A-Za-z_\t\n\f\r ]+"
+VOCAB_SIZE = 2000
 
 
-def query(oracle: str | None = None):
+def query(oracle: str | None = None, name: str | None = None):
     """Register a query under its function's name."""
 
     def put(f):
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if oracle:
-            ORACLES[f.__name__] = oracle
+            ORACLES[name or f.__name__] = oracle
         return f
 
     return put
@@ -25,10 +42,325 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("""
-WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[0-9A-Za-z_]+|[^0-9A-Za-z_\\t\\n\\f\\r ]+')) AS word FROM documents)
-SELECT lang, word AS token, count(*) AS n FROM w GROUP BY ALL
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", *(columns or ("text",)))
+
+
+def digest(pieces: Column) -> list[Column]:
+    return [F.size(pieces).cast("long").alias("n"), F.md5(F.array_join(pieces, "\x02").cast("binary")).alias("digest")]
+
+
+def _digest_sql(pieces: str, source: str = "documents") -> str:
+    return f"WITH p AS (SELECT doc_id, {pieces} AS p FROM {source}) SELECT doc_id, len(p)::BIGINT AS n, md5(array_to_string(p, chr(2))) AS digest FROM p"
+
+
+def _sql(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+# pre-tokenizers
+
+_PUNCT = r"[!-/:-@\[-`{-~\p{P}]"
+_PIECES = {
+    "whitespace_words": (T.Whitespace(), f"regexp_extract_all(text, '{_sql(WORDS)}')"),
+    "whitespace_split": (T.WhitespaceSplit(), r"regexp_extract_all(text, '[^ \t\n\r]+')"),
+    "bert_pieces": (T.Bert(), rf"regexp_extract_all(text, '{_sql(_PUNCT)}|[^\t\n\f\r !-/:-@\[-`{{-~\p{{P}}]+')"),
+    "digits_contiguous": (T.Digits(), r"regexp_extract_all(text, '\p{N}+|[^\p{N}]+')"),
+    "digits_individual": (T.Digits(True), r"regexp_extract_all(text, '\p{N}|[^\p{N}]+')"),
+    "punctuation_pieces": (T.Punctuation(), rf"list_filter(string_split(regexp_replace(text, '({_sql(_PUNCT)})', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"),
+    "delimiter_split": (T.Delimiter("e"), "list_filter(string_split(text, 'e'), lambda x: x <> '')"),
+    "metaspace_pieces": (T.Metaspace(), r"regexp_extract_all('▁' || regexp_replace(text, '[\t\n\f\r ]', '▁', 'g'), '▁[^▁]*|[^▁]+')"),
+    "bytelevel_pieces": (T.ByteLevel(False), rf"list_filter(string_split(regexp_replace(text, '({_sql(T.BYTE_LEVEL.replace('\\s', '\\t\\n\\f\\r '))})', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"),
+}
+for _name, (_stage, _oracle) in _PIECES.items():
+    QUERIES[_name] = lambda spark, sf_dir, stage=_stage: documents(spark, sf_dir).select("doc_id", *digest(stage.column(F.col("text"))))
+    ORACLES[_name] = _digest_sql(_oracle)
+
+_SPLIT_SQL = {
+    ("removed", False): "list_filter(regexp_split_to_array(text, '[aeiou]+'), lambda x: x <> '')",
+    ("removed", True): "regexp_extract_all(text, '[aeiou]+')",
+    ("isolated", False): r"list_filter(string_split(regexp_replace(text, '([aeiou]+)', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')",
+    ("contiguous", False): r"list_filter(string_split(regexp_replace(text, '([aeiou]+)', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')",
+    ("merged_with_previous", False): r"list_filter(string_split(regexp_replace(text, '([aeiou]+)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')",
+    ("merged_with_next", False): r"list_filter(string_split(regexp_replace(text, '([aeiou]+)', chr(1) || '\1', 'g'), chr(1)), lambda x: x <> '')",
+    ("merged_with_previous", True): r"list_filter(string_split(regexp_replace(text, '([aeiou]+)', chr(1) || '\1', 'g'), chr(1)), lambda x: x <> '')",
+    ("merged_with_next", True): r"list_filter(string_split(regexp_replace(text, '([aeiou]+)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')",
+}
+for (_behavior, _inverted), _oracle in _SPLIT_SQL.items():
+    _name = f"split_{_behavior}{'_inverted' if _inverted else ''}"
+    QUERIES[_name] = lambda spark, sf_dir, b=_behavior, i=_inverted: documents(spark, sf_dir).select("doc_id", *digest(T.Split("[aeiou]+", b, i).column(F.col("text"))))
+    ORACLES[_name] = _digest_sql(_oracle)
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '{_sql(WORDS)}|[\t\n\f\r ]+') AS l FROM documents),
+u AS (SELECT doc_id, unnest(l) AS v, generate_subscripts(l, 1) AS i FROM t),
+o AS (SELECT doc_id, v, sum(strlen(v)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM u),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY e) - 1 AS pos FROM o WHERE NOT regexp_full_match(v, '[\t\n\f\r ]+'))
+SELECT doc_id, count(*) AS n, sum((e - strlen(v)) * (pos + 1))::BIGINT AS starts, sum(e * (pos + 1))::BIGINT AS ends FROM p GROUP BY doc_id
 """)
+def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte offsets of every piece, by the Arrow kernel; no shuffle of pieces."""
+    pipeline = Pipeline(M.WordLevel({"<unk>": 0}), None, T.Whitespace())
+    e = pipeline.encode(documents(spark, sf_dir), keep=["doc_id"])
+    total = lambda c: F.aggregate(F.transform(e["encoding.offsets"], lambda o, i: o[c].cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return e.where(F.size("encoding.ids") > 0).select("doc_id", F.size("encoding.ids").cast("long").alias("n"), total("start").alias("starts"), total("end").alias("ends"))
+
+
+# normalizers
+
+_TEXTS = {
+    "norm_lowercase": (N.Lowercase(), "lower(text)"),
+    "norm_strip": (N.Strip(), r"regexp_replace(regexp_replace(text, '^[ \t\n\r\f\v]+', ''), '[ \t\n\r\f\v]+$', '')"),
+    "norm_replace_regex": (N.Replace(r"\s+", "_"), r"regexp_replace(text, '[\t\n\f\r ]+', '_', 'g')"),
+    "norm_replace_literal": (N.Replace("th", "$1", "literal"), "replace(text, 'th', '$1')"),
+    "norm_prepend": (N.Prepend("▁"), "CASE WHEN text <> '' THEN '▁' || text ELSE text END"),
+    "norm_bert": (N.Bert(), r"lower(regexp_replace(translate(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\p{Cf}\x{FFFD}]', '', 'g'), chr(9) || chr(10) || chr(13), '   '), '([\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}\x{20000}-\x{2A6DF}])', ' \1 ', 'g'))"),
+    "norm_strip_marks": (N.StripAccents(), r"regexp_replace(text, '\p{Mn}', '', 'g')"),
+    "norm_sequence": (N.Sequence((N.Lowercase(), N.Replace("[aeiou]+", ""), N.Strip())), r"regexp_replace(regexp_replace(regexp_replace(lower(text), '[aeiou]+', '', 'g'), '^[ \t\n\r\f\v]+', ''), '[ \t\n\r\f\v]+$', '')"),
+}
+for _name, (_stage, _oracle) in _TEXTS.items():
+    QUERIES[_name] = lambda spark, sf_dir, stage=_stage: documents(spark, sf_dir).select("doc_id", F.md5(stage.column(F.col("text")).cast("binary")).alias("digest"))
+    ORACLES[_name] = f"SELECT doc_id, md5({_oracle}) AS digest FROM documents"
+
+
+@query("SELECT doc_id, md5(nfc_normalize(text)) AS digest FROM documents")
+def norm_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphflow.functions.arrays import unicode_form
+
+    return documents(spark, sf_dir).select("doc_id", F.md5(unicode_form("NFC")("text").cast("binary")).alias("digest"))
+
+
+# word counts, vocabularies and word-level encoding
+
+
+def words(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    lowered = Pipeline(M.WordLevel({"<unk>": 0}), N.Lowercase(), T.Whitespace())
+    return lowered.words(table(spark, sf_dir, "documents"), keep=list(keep))
+
+
+_W = f"w AS (SELECT doc_id, lang, source, unnest(regexp_extract_all(lower(text), '{_sql(WORDS)}')) AS word FROM documents)"
+_V = f"v AS (SELECT word AS token, row_number() OVER (ORDER BY count(*) DESC, word) AS id FROM w GROUP BY word QUALIFY id < {VOCAB_SIZE} UNION ALL SELECT '<unk>', 0)"
+
+
+@query(f"WITH {_W} SELECT word, count(*) AS count FROM w GROUP BY word", name="word_counts")
+def query_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_counts(words(spark, sf_dir))
+
+
+@query(f"WITH {_W}, {_V} SELECT token, id::INT AS id FROM v")
+def wordlevel_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab_from_counts(word_counts(words(spark, sf_dir)), VOCAB_SIZE, ("<unk>",))
+
+
+def wordlevel_tokens(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    vocab = wordlevel_vocab(spark, sf_dir)
+    return M.wordlevel_lookup(words(spark, sf_dir, *keep), vocab, "word")
+
+
+@query(f"WITH {_W}, {_V} SELECT lang, coalesce(v.id, 0)::INT AS id, count(*) AS n FROM w LEFT JOIN v ON w.word = v.token GROUP BY ALL")
 def token_frequency_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([0-9A-Za-z_]+|[^0-9A-Za-z_\t\n\f\r ]+)")))
-    return table(spark, sf_dir, "documents").select("lang", words.alias("token")).groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
+    return wordlevel_tokens(spark, sf_dir, "lang").groupBy("lang", "id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_W}, {_V} SELECT source, count(*) AS n, sum(CASE WHEN v.id IS NULL THEN 1 ELSE 0 END)::BIGINT AS unknown FROM w LEFT JOIN v ON w.word = v.token GROUP BY ALL")
+def unknown_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordlevel_tokens(spark, sf_dir, "source").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("id") == 0).cast("long")).alias("unknown"))
+
+
+@query(f"WITH {_W} SELECT unnest(string_split(word, '')) AS char, count(*) AS count FROM w GROUP BY char")
+def training_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alphabet(word_counts(words(spark, sf_dir)))
+
+
+@query(f"""
+WITH {_W}, c AS (SELECT word, count(*) AS n FROM w GROUP BY word),
+p AS (SELECT substr(word, i::BIGINT, 1) AS "left", substr(word, i::BIGINT + 1, 1) AS "right", n FROM c, unnest(range(1, length(word))) t(i))
+SELECT "left", "right", sum(n)::BIGINT AS count FROM p GROUP BY ALL
+""")
+def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = word_counts(words(spark, sf_dir))
+    return pair_counts(counts.select(F.filter(F.split("word", ""), lambda c: c != "").alias("symbols"), "count"))
+
+
+@query()
+def bpe_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """400 tokens of a byte-pair vocabulary; ids and texts."""
+    model = BpeTrainer(400, 2).train(word_counts(words(spark, sf_dir)))
+    return model.vocab_table(spark)
+
+
+@query()
+def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = BpeTrainer(400, 2).train(word_counts(words(spark, sf_dir)))
+    e = Pipeline(model, N.Lowercase(), T.Whitespace()).encode(documents(spark, sf_dir), keep=["doc_id"])
+    return e.select("doc_id", *digest(e["encoding.tokens"]))
+
+
+@query()
+def wordpiece_train_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = WordPieceTrainer(BpeTrainer(400, 2, continuing_subword_prefix="##")).train(word_counts(words(spark, sf_dir)))
+    e = Pipeline(model, N.Bert(), T.Bert()).encode(documents(spark, sf_dir), keep=["doc_id"])
+    return e.select("doc_id", *digest(e["encoding.tokens"]))
+
+
+_PIECE_VOCAB = f"""
+{_W}, a AS (SELECT word FROM w GROUP BY word ORDER BY count(*) DESC, word LIMIT 300),
+k AS (SELECT DISTINCT unnest(string_split(word, '')) AS t FROM w UNION SELECT word FROM a)
+"""
+
+
+@query(f"""
+WITH RECURSIVE {_PIECE_VOCAB}, d AS (SELECT DISTINCT word FROM w WHERE length(word) <= 100),
+s AS (SELECT word, 0 AS pos, 0 AS k, '' AS pieces FROM d
+  UNION ALL
+  SELECT s.word, s.pos + max(length(k.t)), s.k + 1, s.pieces || CASE WHEN s.pos > 0 THEN ' ##' ELSE '' END || arg_max(k.t, length(k.t))
+  FROM s JOIN k ON k.t = substr(s.word, s.pos + 1, length(k.t)) AND length(k.t) <= length(s.word) - s.pos AND substr(s.word, s.pos + 1, 1) = substr(k.t, 1, 1)
+  WHERE s.pos < length(s.word) GROUP BY s.word, s.pos, s.k, s.pieces)
+SELECT word, pieces FROM s WHERE pos = length(word)
+""")
+def wordpiece_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy pieces of every distinct word, over a vocabulary of frequent words and characters."""
+    every = words(spark, sf_dir)
+    top = word_counts(every).orderBy(F.desc("count"), "word").limit(300).select("word")
+    chars = alphabet(word_counts(every)).select(F.col("char").alias("word"))
+    pieces = [r[0] for r in top.unionByName(chars).distinct().orderBy("word").collect()]  # at most 300 words and the alphabet
+    vocab = {t: i for i, t in enumerate(["[UNK]", *pieces, *(f"##{p}" for p in pieces)])}
+    pipeline = Pipeline(M.WordPiece(vocab), N.Lowercase(), T.Whitespace())
+    distinct = pipeline.word_tokens(table(spark, sf_dir, "documents")).select("word", "tokens").where(F.length("word") <= 100).dropDuplicates(["word"])
+    return distinct.select("word", F.array_join(F.transform("tokens", lambda t: t["token"]), " ").alias("pieces"))
+
+
+@query()
+def unigram_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = word_counts(words(spark, sf_dir))
+    rows = vocab_from_counts(counts, VOCAB_SIZE, ("<unk>",)).join(counts.withColumnRenamed("word", "token"), "token", "left").select("id", "token", F.log(F.coalesce("count", F.lit(1))).alias("score")).orderBy("id").collect()
+    chars = sorted({c for r in rows[1:] for c in r["token"]} - {r["token"] for r in rows})
+    scores = tuple((r["token"], r["score"] - 20) for r in rows) + tuple((c, -22.0) for c in chars)
+    e = Pipeline(M.Unigram(scores, 0), N.Lowercase(), T.Whitespace()).encode(documents(spark, sf_dir), keep=["doc_id"])
+    return e.select("doc_id", *digest(e["encoding.tokens"]))
+
+
+# encodings
+
+_LIST = f"regexp_extract_all(text, '{_sql(WORDS)}')"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, {_LIST} AS l FROM documents),
+c AS (SELECT doc_id, l, unnest(range(0, greatest(len(l) - 32 - 1, 0)::BIGINT + 1, 96)) AS pos FROM t)
+SELECT doc_id, (pos // 96)::INT AS chunk, len(l[pos + 1 : pos + 128])::BIGINT AS n, md5(array_to_string(l[pos + 1 : pos + 128], chr(2))) AS digest FROM c
+""")
+def truncate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 128 words that share 32."""
+    pieces = T.Whitespace().column(F.col("text"))
+    found = documents(spark, sf_dir).select("doc_id", F.posexplode(E.windows(pieces, 128, 32)).alias("chunk", "w"))
+    return found.select("doc_id", "chunk", *digest(F.col("w")))
+
+
+_TURNS = f"""
+p AS (SELECT a.conv_id, a.turn, regexp_extract_all(a.text, '{_sql(WORDS)}') AS x, regexp_extract_all(b.text, '{_sql(WORDS)}') AS y
+FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+"""
+
+
+def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    first = turns.select("conv_id", "turn", T.Whitespace().column(F.col("text")).alias("x"))
+    second = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), T.Whitespace().column(F.col("text")).alias("y"))
+    return first.join(second, ["conv_id", "turn"])
+
+
+@query(f"""
+WITH {_TURNS}, n AS (SELECT conv_id, turn, len(x) AS n, len(y) AS m FROM p)
+SELECT conv_id, turn, CASE WHEN n + m <= 24 THEN n WHEN 24 >= 2 * least(n, m) THEN CASE WHEN n > m THEN 24 - m ELSE n END ELSE 12 END::INT AS n,
+CASE WHEN n + m <= 24 THEN m WHEN 24 >= 2 * least(n, m) THEN CASE WHEN n > m THEN m ELSE 24 - n END ELSE 12 END::INT AS m FROM n
+""")
+def truncate_longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, m = E.longest_first_columns(F.size("x"), F.size("y"), 24)
+    return turn_pairs(spark, sf_dir).select("conv_id", "turn", n.alias("n"), m.alias("m"))
+
+
+@query(f"""
+WITH {_TURNS}, t AS (SELECT conv_id, turn, list_concat(['[CLS]'], x, ['[SEP]'], y, ['[SEP]']) AS l, len(x) AS n, len(y) AS m FROM p)
+SELECT conv_id, turn, len(l)::BIGINT AS n, md5(array_to_string(l, chr(2))) AS digest, (m + 1)::BIGINT AS types, 3::BIGINT AS specials FROM t
+""")
+def template_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = R.TemplateProcessing.of("[CLS] $A [SEP]", "[CLS]:0 $A:0 [SEP]:0 $B:1 [SEP]:1", {"[CLS]": ([101], ["[CLS]"]), "[SEP]": ([102], ["[SEP]"])})
+    side = lambda c: {"tokens": F.col(c), "ids": F.transform(c, F.length)}
+    out = t.columns(side("x"), side("y"))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, v: s + v).cast("long")
+    return turn_pairs(spark, sf_dir).select("conv_id", "turn", *digest(out["tokens"]), total(out["type_ids"]).alias("types"), total(out["special_tokens_mask"]).alias("specials"))
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, source, {_LIST} AS l FROM documents), m AS (SELECT source, max(len(l)) AS m FROM t GROUP BY source)
+SELECT doc_id, m::BIGINT AS n, (m - len(l))::BIGINT AS padded FROM t JOIN m USING (source)
+""")
+def pad_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "source", "text").select("doc_id", "source", T.Whitespace().column(F.col("text")).alias("tokens"))
+    padded = E.pad_to_longest(docs, "tokens", "[PAD]", "source")
+    return padded.select("doc_id", F.size("tokens").cast("long").alias("n"), F.size(F.filter("tokens", lambda t: t == "[PAD]")).cast("long").alias("padded"))
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, list_concat({_LIST}, list_resize([]::VARCHAR[], greatest(256 - len({_LIST}), 0), '[PAD]'))[1:256] AS l FROM documents)
+SELECT doc_id, len(l)::BIGINT AS n, md5(array_to_string(l, chr(2))) AS digest FROM t
+""")
+def truncate_pad_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = T.Whitespace().column(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", *digest(E.pad_column(E.truncate_column(pieces, 256), 256, "[PAD]")))
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '{_sql(WORDS)}|[\t\n\f\r ]+') AS l FROM documents),
+u AS (SELECT doc_id, unnest(l) AS v, generate_subscripts(l, 1) AS i FROM t),
+o AS (SELECT doc_id, v, sum(strlen(v)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM u),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY e) - 1 AS pos FROM o WHERE NOT regexp_full_match(v, '[\t\n\f\r ]+'))
+SELECT d.doc_id, max(CASE WHEN e - strlen(v) <= 100 AND 100 < e THEN pos END)::INT AS token FROM documents d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id
+""")
+def char_to_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word that byte 100 of each text lies in."""
+    e = Pipeline(M.WordLevel({"<unk>": 0}), None, T.Whitespace()).encode(documents(spark, sf_dir), keep=["doc_id"])
+    return e.select("doc_id", E.char_to_token_column(e["encoding.offsets"], F.lit(100)).alias("token"))
+
+
+@query(r"""
+WITH p AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '\b(the|of)\b', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM documents)
+SELECT doc_id, len(p)::BIGINT AS n, md5(array_to_string(p, chr(2))) AS digest FROM p
+""")
+def added_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two added single words cut out of every text."""
+    pipeline = Pipeline(M.WordLevel({"<unk>": 0})).with_tokens(AddedToken("the", single_word=True), AddedToken("of", single_word=True))
+    e = pipeline.encode(documents(spark, sf_dir), keep=["doc_id"])
+    return e.select("doc_id", *digest(e["encoding.tokens"]))
+
+
+# decoders
+
+_TOKENS = f"WITH p AS (SELECT doc_id, {_LIST} AS p FROM documents) SELECT doc_id, md5(array_to_string({{}}, '')) AS digest FROM p"
+_CLEAN = "t"
+for _a, _b in D.CLEANUP:
+    _CLEAN = f"replace({_CLEAN}, '{_sql(_a)}', '{_sql(_b)}')"
+_DECODERS = {
+    "decode_wordpiece": (D.WordPiece("th"), "list_transform(list_transform(p, lambda t, i: CASE WHEN i = 1 THEN t WHEN starts_with(t, 'th') THEN substr(t, 3) ELSE ' ' || t END), lambda t: " + _CLEAN + ")"),
+    "decode_bpe": (D.BPE("e"), "list_transform(p, lambda t, i: replace(t, 'e', CASE WHEN i = len(p) THEN '' ELSE ' ' END))"),
+    "decode_ctc": (D.CTC("the", "e", False), "list_filter(list_transform(list_filter(p, lambda t, i: i = 1 OR t <> p[i - 1]), lambda t: replace(t, 'the', '')), lambda t: t <> '')"),
+    "decode_fuse": (D.Fuse(), "p"),
+    "decode_strip": (D.Strip("t", 1, 2), r"list_transform(p, lambda t: regexp_replace(regexp_replace(t, '^t', ''), 't{1,2}$', ''))"),
+    "decode_replace": (D.Replace("e", "_"), "list_transform(p, lambda t: replace(t, 'e', '_'))"),
+    "decode_metaspace": (D.Metaspace("e"), "list_transform(p, lambda t, i: replace(t, 'e', CASE WHEN i = 1 THEN '' ELSE ' ' END))"),
+    "decode_sequence": (D.Sequence((D.Replace("e", "_"), D.Fuse())), "list_transform(p, lambda t: replace(t, 'e', '_'))"),
+}
+for _name, (_stage, _oracle) in _DECODERS.items():
+    QUERIES[_name] = lambda spark, sf_dir, stage=_stage: documents(spark, sf_dir).select("doc_id", T.Whitespace().column(F.col("text")).alias("p")).select("doc_id", F.md5(F.array_join(stage.column(F.col("p")), "").cast("binary")).alias("digest"))
+    ORACLES[_name] = _TOKENS.format(_oracle)
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def bytelevel_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut at byte level, encoded with an id for each byte character, and decoded again."""
+    model = M.BPE({c: b for b, c in T.BYTE_TO_CHAR.items()}, {})
+    pipeline = Pipeline(model, None, T.ByteLevel(False), R.ByteLevelProcessing(), D.ByteLevel())
+    e = pipeline.encode(documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", F.col("encoding.ids").alias("ids"))
+    return pipeline.decode(e).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))

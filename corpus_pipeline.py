@@ -28,15 +28,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: its smallest id, once."""
-    found = minhash.near_duplicates(docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text"))).select(F.col("doc_id"), "text"))
-    gone = materialize(found.where(~F.col("kept")).groupBy(F.col("doc_id").alias("_gone")).agg(F.count(F.lit(1)).alias("_n")), "gone")
-    kept = materialize(found.where("kept").select(F.col("doc_id").alias("_one")).where(F.col("_one").isNotNull()).join(gone, F.col("_one") == F.col("_gone"), "left_semi"), "kept")
-    rest = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    if kept.isEmpty():
-        return rest
-    # an id that occurs more than once, with a kept row among its rows
-    again = docs.join(kept, docs["doc_id"] == F.col("_one"), "left_semi").dropDuplicates(["doc_id"])
-    return rest.unionByName(again)
+    found = minhash.near_duplicates(docs.select("doc_id", "text"))
+    found = materialize(found.select("text_key", "kept"), "found")
+    gone = found.where(~F.col("kept")).select(F.col("text_key").alias("_key")).distinct()
+    both = materialize(gone.join(found.where("kept").select(F.col("text_key").alias("_key")), "_key", "left_semi"), "repeated")
+    keyed = docs.withColumn("_key", minhash.text_key(F.col("doc_id"), F.col("text")))
+    rest = keyed.join(gone, "_key", "left_anti")
+    if not both.isEmpty():
+        # rows of equal id and text, of which one stays
+        rest = rest.unionByName(keyed.join(both, "_key", "left_semi").dropDuplicates(["_key"]))
+    return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

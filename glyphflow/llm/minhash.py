@@ -17,9 +17,9 @@ found and never the pairs.  No similar pair of one bucket is left in two
 components.
 
 Defined results: null text counts as empty; all texts without a word form one
-class; repeated rows (equal doc_id) form one output row each and share a class;
-a row with null doc_id gets its own synthetic negative key and a null class id
-is never returned; an empty table gives no rows.
+class; rows of equal doc_id share a class id; a row with null doc_id has a class id
+of its own below 0 unless it equals another text; class ids are never null; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -114,14 +114,20 @@ def _sketch(column: pa.Array, bands: int, rows: int) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(W.as_long(np.ascontiguousarray(d[:, 0]))), pa.array(W.as_long(np.ascontiguousarray(d[:, 1]))), pa.concat_arrays(keys), pa.concat_arrays(sets)], ["d1", "d2", "bands", "grams"])
 
 
+def text_key(doc_id, text):
+    """A hash that only rows of equal id and text share."""
+    return F.xxhash64(doc_id, text)
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, d1, d2, bands, grams) of each row: digest of the word sequence, band keys, shingle set of 32-bit hashes."""
+    """(doc_id, text_key, d1, d2, bands, grams) of each row: a hash of id and text, digest of the word sequence, band keys, shingle set of 32-bit hashes."""
 
     @F.arrow_udf("struct<d1:bigint,d2:bigint,bands:array<bigint>,grams:array<int>>")
     def udf(column: pa.Array) -> pa.Array:
         return _sketch(column, bands, rows)
 
-    return docs.select(F.col(id_col).alias("doc_id"), udf(F.col(text_col).cast("string")).alias("s")).select("doc_id", "s.*")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(id_col), text).alias("text_key"), udf(text).alias("s")).select("doc_id", "text_key", "s.*")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -215,7 +221,7 @@ def _compare_blocks(named: DataFrame, reps: DataFrame, similarity: float) -> Dat
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(row_id, doc_id, class_id, kept) for each row of ``docs``: the class is its smallest doc_id, and one row of it is kept."""
+    """(row_id, doc_id, text_key, class_id, kept) for each row of ``docs``: the class is its smallest doc_id, and one row of it is kept."""
     table = sketch(docs, id_col, text_col, bands, rows).withColumn("row_id", F.monotonically_increasing_id())
     table = materialize(table, "sketch")
     key = F.coalesce(F.col("doc_id").cast("long"), -1 - F.col("row_id"))
@@ -227,5 +233,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = components(near_links(reps, similarity))
     release(reps)
     classes = classes.join(comp.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left").select("d1", "d2", F.coalesce("c", "rep").alias("class_id"), "first_row", "rep")
-    out = named.select("row_id", "doc_id", "d1", "d2").join(classes, ["d1", "d2"])
-    return out.select("row_id", "doc_id", "class_id", ((F.col("row_id") == F.col("first_row")) & (F.col("rep") == F.col("class_id"))).alias("kept"))
+    out = named.select("row_id", "doc_id", "text_key", "d1", "d2").join(classes, ["d1", "d2"])
+    return out.select("row_id", "doc_id", "text_key", "class_id", ((F.col("row_id") == F.col("first_row")) & (F.col("rep") == F.col("class_id"))).alias("kept"))

@@ -116,15 +116,22 @@ def byte_to_chars(text: Column, offset: Column) -> Column:
     return F.length(F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), offset), "UTF-8"))
 
 
-@F.arrow_udf("string")
-def to_ascii(text: pa.Array) -> pa.Array:
+def to_ascii(text: Column) -> Column:
     """Non-ASCII characters as escapes."""
-    return pa.array([None if t is None else t.encode("ascii", "backslashreplace").decode() for t in text.to_pylist()], pa.string())
 
+    @F.arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else t.encode("ascii", "backslashreplace").decode() for t in column.to_pylist()], pa.string())
+
+    return run(text)
+
+
+def graphemes(text: Column) -> Column:
+    @F.arrow_udf("array<string>")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else regex.findall(r"\X", t) for t in column.to_pylist()], pa.list_(pa.string()))
 
-@F.arrow_udf("array<string>")
-def graphemes(text: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else regex.findall(r"\X", t) for t in text.to_pylist()], pa.list_(pa.string()))
+    return run(text)
 
 
 def unicode_form(form: str):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from glyphflow.llm import minhash, mixing, packing, pii, quality
 from glyphflow.llm.queries import table, tokenizer_path
-from glyphflow.llm.scratch import materialize
+from glyphflow.llm.scratch import materialize, release
 
 #: Documents that score lower are rejected.
 MIN_QUALITY = 0.3
@@ -69,5 +69,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

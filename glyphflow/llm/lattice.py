@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
 from .components import components, forest
@@ -129,13 +130,15 @@ def _links(left: dict, right: dict, same: bool, least: float) -> tuple[np.ndarra
     low_cell, high_cell = np.where(lower, ca[k, t], cb[k, t]), np.where(lower, cb[k, t], ca[k, t])
     low_seen = np.where(lower, a_in_b[k, t], b_in_a[k, t])
     here = np.where(equal[k, t] | low_seen, low_cell, high_cell)
-    keep = here == left["cell"]
+    keep = here == left["cell"] >> 32
     return i[keep], j[keep]
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = COSINE, tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES, width: float = WIDTH) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row."""
     v = F.col(vector_col).cast("array<double>")
+    # single-precision input travels as such, which loses nothing
+    number = "float" if vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType()) else "double"
     good = F.coalesce(F.size(v) > 0, F.lit(False)) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.when(good, v).alias("v"))
     usable = rows.where(F.col("v").isNotNull() & F.col("vec_id").isNotNull())
@@ -162,7 +165,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # block p of a cell takes part in the block pairs (p, q) and (q, p), q any block of the cell
     member = member.withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     member = member.select("rep", "cell", "own", F.least("p", "q").alias("p1"), F.greatest("p", "q").alias("p2"), "p")
-    whole = member.join(placed, "rep")
+    # half of each cell name tells a pair's meeting places apart; the rows of a vector in its cells are what is shuffled
+    short = lambda c: F.transform(c, lambda x: F.shiftright(x, 32).cast("int")).alias(c)
+    whole = member.join(placed.select("rep", "weight", F.col("v").cast(f"array<{number}>").alias("v"), short("cells"), short("near")), "rep")
     n = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     whole = whole.repartition(n, "cell", "p1", "p2").sortWithinPartitions("cell", "p1", "p2")
 

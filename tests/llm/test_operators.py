@@ -114,7 +114,8 @@ def test_bit_sliced_filter():
     from glyphflow.llm import langid as L
 
     row, size, h = L._ngrams(["abc, de"])
-    assert len(h) == 3 + 3 and sorted(size.tolist()) == [3, 3, 3, 3, 4, 4] or len(h) > 0
+    # of "_abc_de_": _ab abc bc_ _de de_, _abc abc_ _de_
+    assert sorted(size.tolist()) == [3] * 5 + [4] * 3 and set(row.tolist()) == {0} and len(set(h.tolist())) == 8
     assert len(L._ngrams([""])[0]) == 0 and len(L._ngrams([])[0]) == 0
 
 
@@ -202,7 +203,7 @@ def test_licenses(spark, texts, odd, empty):
             labels |= {label} if hits else set()
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(at), min(at, default=None), max(at, default=None))
         assert r["base_labels"] == ",".join(sorted(labels)) and labels <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
-    mit = dict(licenses.TEMPLATES[::-1])["mit"] and next(t for n, t in licenses.TEMPLATES if t.startswith("permission is hereby"))
+    mit = next(t for _, t in licenses.TEMPLATES if t.startswith("permission is hereby"))
     edited = mit.replace("free of charge", "wholly free of any charge")
     table = spark.createDataFrame([(1, f"x y {edited} z"), (2, "permission is hereby not given to anyone"), (3, "cc by " * 3)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in licenses.report(table).collect()}
@@ -235,7 +236,7 @@ def test_fingerprints(spark, texts, odd, empty):
     assert len(rows) == 12 and len({r["fingerprint"] for r in rows if r["doc_id"] in (5, 6)}) == 1
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
     alone = fingerprints.report(spark.createDataFrame([(1, "ab cd")], "doc_id long, text string")).first()
-    assert alone["edited_sha256"] == hashlib.sha256(b"ababab"[:0] + b"ab ab").hexdigest() or alone["near_next"] == 1.0
+    assert alone["edited_sha256"] == hashlib.sha256(b"ab ab").hexdigest() and alone["near_next"] == 1.0
     assert fingerprints.report(empty).count() == 0
 
 

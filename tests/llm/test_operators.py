@@ -415,6 +415,36 @@ def test_passages(spark, texts, odd, empty):
     assert chaining.repeated_passages(empty).count() == 0
 
 
+def covered_words(rows):
+    out = defaultdict(set)
+    for r in rows:
+        out[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+        out[r["src_doc_id"]] |= set(range(r["src_start"], r["src_end"]))
+    return out
+
+
+def test_passages_of_frequent_lines(spark):
+    """Passages of 50 to 100 words whose every line, and each pair of lines, stands in many other texts too."""
+    from glyphflow.llm import chaining
+
+    rng, rows, want = np.random.default_rng(8), [], {}
+
+    def fill(n):
+        return " ".join(f"f{rng.integers(1 << 40)}" for _ in range(n))
+
+    for p in range(12):
+        lines = [" ".join(f"p{p}l{i}w{j}" for j in range(10)) for i in range(5 + p % 6)]
+        for i in range(len(lines) - 1):  # the fragments are under 50 words
+            rows += [(len(rows) + c, f"{fill(12)}\n{lines[i]}\n{lines[i + 1]}\n{fill(12)}") for c in range(8)]
+        for lead in (7, 30):
+            want[len(rows)] = set(range(lead, lead + 10 * len(lines)))
+            rows.append((len(rows), "\n".join([fill(lead), *lines, fill(20)])))
+    found = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = covered_words(found)
+    assert all(w <= got[i] for i, w in want.items())
+    assert {i for i, w in got.items() if w} == set(want)
+
+
 # 9
 
 PLAIN = [("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")), ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")), ("card", re.compile(r"[0-9]([\x20-]?[0-9])+")), ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"))]

@@ -1,7 +1,8 @@
 """MinHash near-dedup with DartMinHash signatures.
 
-A document is a weighted set: its five-word shingles (fewer words: all of them
-as one shingle), weighted 1 + ln(times).  For every shingle and unit cell of its
+A document is the set of its five-word shingles (fewer words: all of them as one
+shingle), each of weight 1 however often it stands there, as the similarity that
+counts is that of the sets.  For every shingle and unit cell of its
 weight a hashed Poisson process throws darts; a dart counts if it lands inside
 the weighted region, falls on a hashed signature coordinate, and the earliest
 dart of each coordinate stays.  Work is one dart a shingle plus about k ln k + 2k
@@ -94,9 +95,8 @@ def _sketch(column: pa.Array, bands: int, rows: int) -> pa.Array:
         # (row, 44 bits of the hash) in one word: sorting it finds the distinct shingles of each row
         key = np.sort((row.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
         head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else row
-        times = np.diff(np.r_[head, len(key)])
         row, h = (key[head] >> np.uint64(44)).astype(np.int64), key[head] & np.uint64((1 << 44) - 1)
-        sig = dart_minhash(row, W.mix(h), 1 + np.log(times), n, bands * rows)
+        sig = dart_minhash(row, W.mix(h), np.ones(len(h)), n, bands * rows)
         band = np.zeros((n, bands), dtype=np.uint64)
         for i in range(rows):
             band = W.mix(band * np.uint64(31) + sig[:, i::rows][:, :bands])

@@ -347,6 +347,18 @@ def test_near_duplicates(spark, texts, odd, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_repeated_texts_are_near_copies(spark):
+    """A text against itself written many times: similar as sets of shingles, however often each stands there."""
+    from glyphflow.llm import minhash
+
+    rng, rows = np.random.default_rng(9), []
+    for g in range(60):
+        text = " ".join(f"g{g}w{rng.integers(1 << 30)}" for _ in range(120))
+        rows += [(2 * g, text), (2 * g + 1, " ".join([text] * (2, 3, 5, 10)[g % 4]))]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(120)}
+
+
 def test_hot_bucket_of_near_copies(spark):
     """Many near copies of one text: every class of the brute force is found whole."""
     from glyphflow.llm import minhash

@@ -4,6 +4,7 @@ The tokenizer splits a text into runs (letters, one digit, other marks) that are
 encoded apart from each other, so the ids of a text are the ids of its runs in
 order.  Runs are found and hashed with numpy; only runs that the worker has not
 met yet go through the tokenizer, and every text is assembled from that table.
+Texts that hold one of the tokenizer's added tokens go through it whole.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.classes = _classes()
         self.clear()
 
@@ -94,6 +95,15 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32), with END_ID after each text, and the n + 1 offsets of the texts in them."""
+        whole = [i for i, t in enumerate(texts) if any(a in t or a in t.lower() for a in self.added)]
+        if not whole:
+            return self._encode(texts)
+        own = dict(zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True))
+        ids, offsets = self._encode(["" if i in own else t for i, t in enumerate(texts)])
+        parts = [np.array([*own[i].ids, END_ID], dtype=np.uint32) if i in own else ids[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
+        return np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = [unicodedata.normalize("NFC", t).replace("Σ", "σ").lower() if not t.isascii() else t.lower() for t in texts]
         length = np.fromiter(map(len, plain), dtype=np.int64, count=len(plain))
         whole = "".join(plain)

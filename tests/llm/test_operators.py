@@ -187,6 +187,18 @@ def test_encoder_matches_tokenizer():
     assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [[*e.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
 
 
+def test_added_tokens_keep_their_ids():
+    from glyphflow.llm.queries import tokenizer_path
+    from glyphflow.llm.token_pieces import Encoder
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    texts = ["a b", "one <|endoftext|> two", "", "<|startoftext|>x<|endoftext|>", "<|ENDOFTEXT|> It's 12", "c"]
+    ids, offsets = Encoder(tokenizer_path()).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert ids[offsets[1] : offsets[2]].tolist() == [637, 49407, 1237, 0]
+
+
 # 3
 
 

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import fresh, materialize, release
 
 KINDS = ("email", "ip", "card", "phone")
 # The same leftmost matches as the plain rules.  \G or a look-behind keeps a search from starting again inside a run
@@ -174,7 +174,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All columns of ``docs`` with every span of the text replaced by its kind in brackets; rows without spans keep their text."""
-    spans = extract(docs, id_col, text_col, **options).where(F.size("spans") > 0).select(F.col("key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
+    own, found = fresh(docs.columns, "key", "spans")
+    spans = extract(docs, id_col, text_col, **options).where(F.size("spans") > 0).select(F.col("key").alias(own), F.col("spans").alias(found)).dropDuplicates([own])
     spans = materialize(spans, "spans")
     text = F.col(text_col)
     tag = lambda k: F.element_at(F.array(*[F.lit(f"[{name.upper()}]") for name in KINDS]), k + 1)
@@ -184,6 +185,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
         piece = F.when(fresh, F.concat(F.substring(text, acc["pos"] + 1, x["s"] - acc["pos"]), tag(x["k"]))).otherwise("")
         return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.concat(acc["out"], piece).alias("out"))
 
-    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
-    joined = docs.withColumn("_key", key(F.col(id_col), text)).join(spans, "_key", "left")
-    return joined.select(*[F.when(F.col("_spans").isNotNull(), clean).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    clean = F.aggregate(found, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
+    joined = docs.withColumn(own, key(F.col(id_col), text)).join(spans, own, "left")
+    return joined.select(*[F.when(F.col(found).isNotNull(), clean).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -8,6 +8,7 @@ tables are registered with Hadoop's ``deleteOnExit`` of the driver.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,15 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is named (tests)."""
+    """The cluster's shared checkpoint folder.
+
+    Where none is named, a session that is one process (``local[...]``, as in tests) gets a temporary one; on a
+    cluster, whose executors would each write to a folder of their own, that is an error.
+    """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="glyphflow-scratch-")
         spark.conf.set(CHECKPOINT_DIR, root)
     return root
@@ -51,3 +58,14 @@ def release(*tables: DataFrame) -> None:
             context = df.sparkSession.sparkContext
             where = context._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores before it as keep it apart from ``columns`` and the others."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -5,14 +5,15 @@ n-gram sets its language's bit in HASHES slots, and the AND of an n-gram's slots
 is the set of all languages that contain it.  A text's popcount per language,
 less the share that the language's fill makes falsely positive, decides.
 
-An n-gram (3 and 4 letters with word ends) belongs to the languages in which its
-rate is at least MIN_RATE and at least 1 / SPREAD of its highest rate; the rate
-bound also bounds what training sends to the driver: at most
-languages * len(SIZES) / MIN_RATE n-grams.
+Every n-gram (3 and 4 letters with word ends) of the training rows is in the
+filter, under every language that has it.  Tasks set bits, and an aggregation
+joins them by OR, so the driver gets a row for each slot and 64 languages.
 
 Defined results: `und` with score 0 for a null text, a text without a letter or
-a model without languages; ties go to the first language by code point; repeated
-rows get equal results; an empty table gives no rows.
+a model without languages; very long texts count whole; ties go to the first language
+by code point; repeated rows get equal results; columns of any other name are
+carried through, lang_pred and score replace columns of their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .scratch import fresh
 from .token_pieces import _LETTER, _classes
 
-#: Bound of the sample of labelled rows that the filter is filled from.
-MAX_TRAIN_ROWS = 50_000
+#: Bounds of the sample of labelled rows that the filter is filled from: of all rows, and of a rare language's.  The
+#: n-grams of stray foreign or mislabelled text stay rare in a sample of this size.
+MAX_TRAIN_ROWS, RARE_ROWS = 3_000, 400
 SEED = "language-sample-1"
-SIZES, MIN_RATE, SPREAD = (3, 4), 2e-5, 3.0
-SLOTS, HASHES = 1 << 20, 2
+SIZES, SLOTS, HASHES = (3, 4, 5), 1 << 22, 2
 _LETTERS: list[np.ndarray] = []
 
 
@@ -84,7 +86,7 @@ def _stretches(texts: list[str], most: int = 1_000_000):
 
 def _slots(h: np.ndarray) -> list[np.ndarray]:
     mask = np.uint64(SLOTS - 1)
-    return [((h >> np.uint64(20 * i)) & mask).astype(np.int64) for i in range(HASHES)]
+    return [((h >> np.uint64(24 * i)) & mask).astype(np.int64) for i in range(HASHES)]
 
 
 @dataclass(frozen=True)
@@ -117,46 +119,38 @@ class Filter:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_TRAIN_ROWS) -> Filter:
-    """Fill a filter from labelled rows, about ``max_rows`` of them at most, chosen by a hash of their id."""
+    """Fill a filter from labelled rows, chosen by a hash of their id: about ``max_rows``, and RARE_ROWS of each language where it has them."""
+    lang = F.col(lang_col).cast("string")
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = max_rows / max(1, known.select(id_col).count())
-    if share < 1:
-        known = known.where(F.pmod(F.xxhash64(id_col, F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000))
+    counts = dict(known.groupBy(lang).count().collect())  # one row for each language
+    languages = tuple(sorted(counts, key=lambda x: x.encode()))
+    if not languages:
+        return Filter((), (), np.zeros(0))
+    least = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1_000_000, max(max_rows * 1_000_000 // sum(counts.values()), RARE_ROWS * 1_000_000 // counts[name])))])
+    known = known.where(F.pmod(F.xxhash64(id_col, F.lit(SEED)), F.lit(1_000_000)) < least[lang])
+    number = {name: j for j, name in enumerate(languages)}
 
-    def count(batches):
+    def fill(batches):
+        planes = [np.zeros(SLOTS, dtype=np.uint64) for _ in range(-(-len(languages) // 64))]
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in sorted(set(langs)):
+                j = number[lang]
                 for _, part in _stretches([t for name, t in zip(langs, texts, strict=True) if name == lang]):
-                    _, size, h = _ngrams(part)
-                    distinct, one, n = np.unique(h, return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(size[one].astype(np.int32)), pa.array(W.as_long(distinct)), pa.array(n)], names=["lang", "size", "gram", "n"])
-
-    grams = known.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(count, "lang string, size int, gram bigint, n bigint")
-    grams = grams.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).persist()
-    totals = {(r[0], r[1]): r[2] for r in grams.groupBy("lang", "size").agg(F.sum("n")).collect()}
-    least = F.create_map(*[F.lit(x) for (lang, size), n in totals.items() for x in (f"{lang}\t{size}", float(n * MIN_RATE))]) if totals else None
-    often = grams.where(F.col("n") >= least[F.concat_ws("\t", "lang", F.col("size").cast("string"))]).toArrow() if totals else None
-    grams.unpersist()
-    languages = tuple(sorted({lang for lang, _ in totals}, key=lambda x: x.encode()))
-    if not languages:
-        return Filter((), (), np.zeros(0))
-    lang = np.searchsorted(np.array(languages, dtype=object), np.array(often["lang"].to_pylist(), dtype=object))
-    h = often["gram"].to_numpy().view(np.uint64)
-    total = np.array([[totals.get((name, size), 1) for size in SIZES] for name in languages], dtype=float)
-    rate = often["n"].to_numpy() / total[lang, often["size"].to_numpy() - SIZES[0]]
-    distinct, back = np.unique(h, return_inverse=True)
-    most = np.zeros(len(distinct))
-    np.maximum.at(most, back, rate)
-    keep = rate >= most[back] / SPREAD
+                    for s in _slots(_ngrams(part)[2]):
+                        planes[j // 64][s] |= np.uint64(1) << np.uint64(j % 64)
+        for k, plane in enumerate(planes):
+            at = np.flatnonzero(plane)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(W.as_long(plane[at]))], names=["plane", "slot", "bits"])
+
+    bits = known.select(lang, F.col(text_col).cast("string")).mapInArrow(fill, "plane int, slot int, bits bigint")
+    table = bits.groupBy("plane", "slot").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most SLOTS rows for each 64 languages
     slots = [np.zeros(SLOTS, dtype=np.uint64) for _ in range(-(-len(languages) // 64))]
-    false_rate = np.zeros(len(languages))
-    for j in range(len(languages)):
-        plane, bit = slots[j // 64], np.uint64(1) << np.uint64(j % 64)
-        for s in _slots(h[keep & (lang == j)]):
-            plane[s] |= bit
-        false_rate[j] = float(((plane & bit) != 0).mean()) ** HASHES
-    return Filter(languages, tuple(slots), false_rate)
+    plane, slot, value = table["plane"].to_numpy(), table["slot"].to_numpy(), table["bits"].to_numpy().view(np.uint64)
+    for k in range(len(slots)):
+        slots[k][slot[plane == k]] = value[plane == k]
+    fill_of = lambda j: float((slots[j // 64] >> np.uint64(j % 64) & np.uint64(1)).mean())
+    return Filter(languages, tuple(slots), np.array([fill_of(j) ** HASHES for j in range(len(languages))]))
 
 
 def predict(docs: DataFrame, model: Filter, text_col: str = "text") -> DataFrame:
@@ -168,5 +162,6 @@ def predict(docs: DataFrame, model: Filter, text_col: str = "text") -> DataFrame
         names, scores = shared.value.decide([t or "" for t in column.to_pylist()])
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang", "score"])
 
-    out = docs.withColumn("_found", decide(F.col(text_col).cast("string")))
-    return out.withColumns({"lang_pred": F.col("_found.lang"), "score": F.col("_found.score")}).drop("_found")
+    found = fresh(docs.columns, "found")[0]
+    out = docs.withColumn(found, decide(F.col(text_col).cast("string")))
+    return out.withColumns({"lang_pred": F.col(found)["lang"], "score": F.col(found)["score"]}).drop(found)

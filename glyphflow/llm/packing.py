@@ -2,16 +2,18 @@
 
 The histogram of piece lengths has at most ``capacity`` entries whatever the size of the
 corpus, so the plan is made on the driver: enumerate patterns of two and three
-lengths that fill a sequence, fit their repeat counts to the histogram by
+lengths that fill a sequence exactly, fit their repeat counts to the histogram by
 non-negative least squares (multiplicative updates on the sparse pattern
 matrix), round them, and pack what is left by best fit, whole groups of equal
-sequences at a time.  Several rounding levels are tried and the plan with the fewest
-sequences is kept.  Pieces are then numbered within their length and look their
+sequences at a time.  The fit is rounded in two ways (to the nearest, and with the
+remainders carried from pattern to pattern) and the plan with fewer sequences is
+kept.  Pieces are then numbered within their length and look their
 place up in the plan; no task or driver sees all pieces of a length.
 
-Defined results: a null or empty text is one piece that holds only the end id;
-repeated rows are packed each for itself; a null doc_id is carried through; an
-empty table gives no rows.
+Defined results: a null or empty text is one piece that holds only the end id; very
+long texts are cut whole; repeated rows (and other ties of length) are packed each for
+itself; a null doc_id is carried through; columns of any other name are left
+out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,9 +30,7 @@ from .scratch import materialize
 from .token_pieces import Encoder
 
 CAPACITY, TOKENIZER = 2048, "word_bpe_49k.json"
-#: Waste that a pattern of two may have; patterns of three fill a sequence exactly.
-PAIR_SLACK, ITERATIONS, MAX_PATTERNS = 8, 150, 20_000
-ROUNDING = (0.5, 0.1, 1e9)
+ITERATIONS = 150
 #: About so many pieces are numbered by one window group.
 GROUP = 50_000
 _TEXTS = 2_000_000
@@ -72,7 +72,7 @@ def _patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
     a, b = np.meshgrid(lengths, lengths, indexing="ij")
     a, b = a[(b >= a) & (a + b <= capacity)], b[(b >= a) & (a + b <= capacity)]
     left = capacity - a - b
-    pair = left <= PAIR_SLACK
+    pair = left == 0
     three = (left >= b) & have[left]
     return np.concatenate([np.column_stack([a[pair], b[pair], 0 * a[pair]]), np.column_stack([a[three], b[three], left[three]])])
 
@@ -129,6 +129,13 @@ def _best_fit(rest: np.ndarray, groups: list, capacity: int) -> list:
     return [g for left in room for g in left]
 
 
+def _rounded(x: np.ndarray) -> list[np.ndarray]:
+    """Whole repeat counts of the fit, two ways; the patterns stand in falling order of x."""
+    nearest = np.where(x >= 0.5, np.maximum(1, np.rint(x)), 0)
+    carried = np.diff(np.floor(np.cumsum(x) + 0.5), prepend=0)
+    return [nearest.astype(np.int64), carried.astype(np.int64)]
+
+
 def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple, int]]:
     """[(pattern, repeats)] that use up the histogram (count by length); a pattern is ((length, times), ...)."""
     lengths = np.flatnonzero(histogram)
@@ -136,16 +143,17 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple, i
     patterns = _patterns(lengths, capacity)
     x = fit(histogram, patterns) if len(patterns) else np.zeros(0)
     order, best = np.argsort(-x, kind="stable"), None
-    for level in ROUNDING:
+    for counts in _rounded(x[order]):
         rest, groups = histogram.astype(np.int64).copy(), []
         rest[0] = 0
-        for p in order[: int((x >= level).sum())]:
+        some = np.flatnonzero(counts)
+        for p, wanted in zip(patterns[order[some]].tolist(), counts[some].tolist(), strict=True):
             parts: dict[int, int] = {}
-            for n in patterns[p].tolist():
+            for n in p:
                 if n:
                     parts[n] = parts.get(n, 0) + 1
-            take = min(max(1, int(round(x[p]))), *(int(rest[n]) // k for n, k in parts.items()), 1 << 62)
-            if take > 0 and len(groups) < MAX_PATTERNS:
+            take = min(wanted, *(int(rest[n]) // k for n, k in parts.items()))
+            if take > 0:
                 for n, k in parts.items():
                     rest[n] -= take * k
                 groups.append((tuple(parts.items()), take))
@@ -174,15 +182,17 @@ def _places(groups: list) -> dict[str, np.ndarray]:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
-    pieces = materialize(pieces, "pieces")
+    # a stored row number tells equal rows apart
+    pieces = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``capacity`` rows
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for n, c in counts:
         histogram[n] = c
-    places = pieces.sparkSession.sparkContext.broadcast(_places(plan(histogram, capacity)))
-    salts = max(16, int(histogram.sum()) // GROUP)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    within = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
+    spark = pieces.sparkSession
+    places = spark.sparkContext.broadcast(_places(plan(histogram, capacity)))
+    salts = spark.createDataFrame([(n, -(-c // GROUP)) for n, c in counts], "length long, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts"))).drop("salts")
+    within = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")))
     before = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = before.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
 

@@ -4,7 +4,9 @@ The tokenizer splits a text into runs (letters, one digit, other marks) that are
 encoded apart from each other, so the ids of a text are the ids of its runs in
 order.  Runs are found and hashed with numpy; only runs that the worker has not
 met yet go through the tokenizer, and every text is assembled from that table.
-Texts that hold one of the tokenizer's added tokens go through it whole.
+Texts that hold one of the tokenizer's added tokens go through it whole, and so do
+texts with a character that Python's Unicode tables do not know but the
+tokenizer's may.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from . import words as W
 #: Runs that a worker remembers before it starts its table anew.
 MAX_RUNS = 1_000_000
 END_ID = 0
-_LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
+_LETTER, _NUMBER, _SPACE, _OTHER, _UNASSIGNED = 1, 2, 3, 4, 5
 # White space as the tokenizer's patterns see it: the Unicode White_Space property.
 _SPACES = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 # Contractions that the tokenizer cuts off as runs of their own.
@@ -28,12 +30,14 @@ _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 def _classes() -> np.ndarray:
     table = np.full(0x110000, _OTHER, dtype=np.uint8)
-    for c in range(0x32000):
-        kind = unicodedata.category(chr(c))[0]
-        if kind == "L":
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))
+        if kind[0] == "L":
             table[c] = _LETTER
-        elif kind == "N":
+        elif kind[0] == "N":
             table[c] = _NUMBER
+        elif kind == "Cn":
+            table[c] = _UNASSIGNED
     table[list(_SPACES)] = _SPACE
     return table
 
@@ -82,6 +86,9 @@ class Encoder:
         keep = kind[start] != _SPACE
         return start[keep], end[keep]
 
+    def _unassigned(self, text: str) -> bool:
+        return bool((self.classes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)] == _UNASSIGNED).any())
+
     def _learn(self, runs: list[str], hashes: np.ndarray) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
@@ -95,7 +102,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32), with END_ID after each text, and the n + 1 offsets of the texts in them."""
-        whole = [i for i, t in enumerate(texts) if any(a in t or a in t.lower() for a in self.added)]
+        whole = [i for i, t in enumerate(texts) if any(a in t or a in t.lower() for a in self.added) or not t.isascii() and self._unassigned(t)]
         if not whole:
             return self._encode(texts)
         own = dict(zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True))

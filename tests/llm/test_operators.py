@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, key long, rep long, bucket long, seed int, row_id long, n int, c string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, key long, rep long, bucket long, seed int, row_id long, n int, c string, _key long, _spans string, _copy int, _score double, _found string"
 
 
 def words(text):
@@ -41,7 +41,7 @@ def odd(spark):
     long = " ".join(f"w{i % 977}x{i * i % 7919}" for i in range(60_000))
     mail = "write to me at jo.doe@example.org or +1 (212) 555-0100 now"
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, long), (5, mail), (5, mail), (6, mail), (None, "a null id with some words in it"), (7, "one"), (8, "é 😁 ﬁ \x00 1.2.3.4"), (9, "ONE"), (10, "." * 5000)]
-    extra = (None, None, 0, 0.5, 1, 1, 1, 1, 1, 1, "x")
+    extra = (None, None, 0, 0.5, 1, 1, 1, 1, 1, 1, "x", 7, "spans", 8, 0.25, "found")
     return spark.createDataFrame([(i, t, *extra) for i, t in rows], SCHEMA)
 
 
@@ -64,6 +64,26 @@ def components(ids, pairs):
     return {i: root(i) for i in ids}
 
 
+def test_scratch_needs_a_shared_folder():
+    from glyphflow.llm import scratch
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        def __init__(self, master):
+            self.conf, self.sparkContext = Conf(), type("C", (), {"master": master})
+
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            scratch.scratch_root(Session(master))
+    assert scratch.scratch_root(Session("local[4]")).startswith("file:///")
+    named = Session("yarn")
+    named.conf[scratch.CHECKPOINT_DIR] = "hdfs:///x"
+    assert scratch.scratch_root(named) == "hdfs:///x"
+    assert scratch.fresh(["Key", "_key", "x"], "key", "spans", "spans") == ["__key", "spans", "_spans"]
+
+
 # words
 
 
@@ -114,11 +134,43 @@ def test_bit_sliced_filter():
     from glyphflow.llm import langid as L
 
     row, size, h = L._ngrams(["abc, de"])
-    # of "_abc_de_": _ab abc bc_ _de de_, _abc abc_ _de_
-    assert sorted(size.tolist()) == [3] * 5 + [4] * 3 and set(row.tolist()) == {0} and len(set(h.tolist())) == 8
+    # of "_abc_de_": _ab abc bc_ _de de_, _abc abc_ _de_, _abc_
+    assert sorted(size.tolist()) == [3] * 5 + [4] * 3 + [5] and set(row.tolist()) == {0} and len(set(h.tolist())) == 9
     assert len(L._ngrams([""])[0]) == 0 and len(L._ngrams([])[0]) == 0
 
 
+def plain_ngrams(text):
+    low = " " + re.sub(r"[^\W\d_]+|.", lambda m: m[0] if m[0].isalpha() else " ", text.lower(), flags=re.S) + " "
+    low = re.sub(" +", " ", low)
+    return [low[i : i + n] for n in (3, 4, 5) for i in range(len(low) - n + 1) if " " not in low[i + 1 : i + n - 1]]
+
+
+def test_language_against_plain_sets(spark, docs):
+    """The filter holds every n-gram of every language, and popcounts decide as plain sets do."""
+    from glyphflow.llm import langid as L
+
+    rows = [(r["doc_id"], r["lang"], r["text"]) for r in docs.where("text is not null and lang is not null").collect()]
+    model = L.train(docs, max_rows=10**9)
+    sets = defaultdict(set)
+    for _, lang, text in rows:
+        sets[lang].update(plain_ngrams(text))
+    assert model.languages == tuple(sorted(sets))
+    for j, lang in enumerate(model.languages):
+        text = " ".join(sorted(sets[lang])[:3000]).replace("  ", " ")
+        grams = [g for g in plain_ngrams(text) if g in sets[lang]]
+        h = np.unique(L._ngrams([t for _, x, t in rows if x == lang])[2])
+        assert len(h) == len(sets[lang]) and grams
+        assert all((model.slots[0][s] >> np.uint64(j) & np.uint64(1)).all() for s in L._slots(h))
+    names, scores = model.decide([t for *_, t in rows])
+    agree = 0
+    for name, score, (_, _, text) in zip(names, scores, rows, strict=True):
+        grams = plain_ngrams(text)
+        counts = {lang: sum(g in have for g in grams) for lang, have in sets.items()}
+        agree += not grams or counts.get(name, 0) >= max(counts.values()) - 0.02 * len(grams)
+        assert 0 <= score <= 1
+    assert agree == len(rows)
+
+
 # 2
 
 
@@ -127,7 +179,6 @@ def pieces_of(texts, size=2048):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
-    t.encode_special_tokens = True
     out = Counter()
     for i, text in texts:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -177,6 +228,15 @@ def test_packing_plan(seed):
     assert (used == h).all() and sum(c for _, c in groups) <= -(-int((h * np.arange(2049)).sum()) // 2048) * 1.01 + 1
 
 
+@pytest.mark.parametrize("draw", [lambda r: r.integers(1, 2049, 20_000), lambda r: r.lognormal(7.2, 1, 20_000), lambda r: r.lognormal(5, 1, 100_000)])
+def test_packing_plan_is_no_worse_than_best_fit(draw):
+    from glyphflow.llm import packing
+
+    h = np.bincount(np.clip(draw(np.random.default_rng(0)).astype(int), 1, 2048), minlength=2049)
+    plain = sum(c for _, c in packing._best_fit(h.copy(), [], 2048))
+    assert sum(c for _, c in packing.plan(h)) <= plain
+
+
 def test_encoder_matches_tokenizer():
     from glyphflow.llm.queries import tokenizer_path
     from glyphflow.llm.token_pieces import Encoder
@@ -187,6 +247,22 @@ def test_encoder_matches_tokenizer():
     assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [[*e.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
 
 
+def test_encoder_on_every_character():
+    """Letters to the end of Unicode, newer ones than Python knows among them, and special tokens between."""
+    from glyphflow.llm.queries import tokenizer_path
+    from glyphflow.llm.token_pieces import Encoder
+
+    e = Encoder(tokenizer_path())
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or c % 7 == 0 or 0x1C80 <= c % 0x10000 < 0x1C90)]
+    rng = np.random.default_rng(5)
+    rng.shuffle(every)
+    texts = ["".join(f"a{c}{c}b 1" for c in every[i : i + 40]) + (" <|endoftext|> z" if i % 400 == 0 else "") for i in range(0, len(every), 40)]
+    ids, offsets = e.encode(texts)
+    want = [[*x.ids, 0] for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    wrong = [t for t, a, b, w in zip(texts, offsets, offsets[1:], want, strict=False) if ids[a:b].tolist() != w]
+    assert not wrong, [(hex(ord(c)), c) for t in wrong[:3] for c in t if not c.isascii()]
+
+
 def test_added_tokens_keep_their_ids():
     from glyphflow.llm.queries import tokenizer_path
     from glyphflow.llm.token_pieces import Encoder
@@ -228,19 +304,51 @@ def test_licenses(spark, texts, odd, empty):
 # 4
 
 
-def test_fingerprints(spark, texts, odd, empty):
+def plain_sketches(spark, table):
+    """Sketches by plain sets: all shingles of each text, hashed by Spark, those below the threshold; {text: (digest, hashes)}."""
+    low = {t: WORD.findall(t.lower()) for t in set(table)}
+    rows = [(t, w[i : i + 5]) for t, w in low.items() for i in range(max(1, len(w) - 4))]
+    hashed = spark.createDataFrame(rows, "t string, w array<string>").select("t", F.xxhash64("w").alias("h")).collect()
+    digests = {r["t"]: r["d"] for r in spark.createDataFrame(list(low.items()), "t string, w array<string>").select("t", F.xxhash64("w").alias("d")).collect()}
+    out = {t: (d, set()) for t, d in digests.items()}
+    for t, h in hashed:
+        if low[t] and h < -(1 << 63) + (1 << 64) // 8:
+            out[t][1].add(h)
+    return out
+
+
+def as_text(sketch):
+    return "".join(f"{x % (1 << 64):016x}" for x in (sketch[0], *sorted(sketch[1])))
+
+
+def alike(a, b):
+    if not a[1] and not b[1]:
+        return float(a[0] == b[0])
+    return len(a[1] & b[1]) / len(a[1] | b[1])
+
+
+@pytest.mark.parametrize("levels", [(1000, 512), (7, 4)])
+def test_fingerprints(spark, texts, odd, empty, monkeypatch, levels):
     from glyphflow.llm import fingerprints
     from glyphflow.llm.queries import op4_fingerprints
 
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", levels[0])
+    monkeypatch.setattr(fingerprints, "FIRST_LEVEL", levels[1])
     ids = sorted(texts)
     after = dict(zip(ids, ids[1:] + ids[:1], strict=True))
-    error = []
-    for r in op4_fingerprints(spark, SF).collect():
-        t = texts[r["doc_id"]]
+    edited = {}
+    for i, t in texts.items():
         half = len(t) // 2
-        edited = t[: len(t) - half] + texts[after[r["doc_id"]]][:half]
-        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        a, b = shingles(t), shingles(edited)
+        edited[i] = t[: len(t) - half] + texts[after[i]][:half]
+    plain, error = plain_sketches(spark, [*texts.values(), *edited.values()]), []
+    got = op4_fingerprints(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t, e, n = texts[r["doc_id"]], edited[r["doc_id"]], texts[after[r["doc_id"]]]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
+        assert r["fingerprint"] == as_text(plain[t]) and r["edited_fingerprint"] == as_text(plain[e])
+        assert abs(r["near_edited"] - alike(plain[t], plain[e])) < 1e-9 and abs(r["near_next"] - alike(plain[t], plain[n])) < 1e-9
+        a, b = shingles(t), shingles(e)
         if len(a) > 300:
             error.append(r["near_edited"] - len(a & b) / len(a | b))
     assert abs(np.mean(error)) < 0.05 and np.std(error) < 0.1
@@ -250,6 +358,17 @@ def test_fingerprints(spark, texts, odd, empty):
     alone = fingerprints.report(spark.createDataFrame([(1, "ab cd")], "doc_id long, text string")).first()
     assert alone["edited_sha256"] == hashlib.sha256(b"ab ab").hexdigest() and alone["near_next"] == 1.0
     assert fingerprints.report(empty).count() == 0
+    with pytest.raises(TypeError):
+        fingerprints.report(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_sketches_merge(spark):
+    from glyphflow.llm import fingerprints as P
+
+    a, b = " ".join(f"a{i}" for i in range(400)), " ".join(f"b{i}" for i in range(300))
+    row = spark.createDataFrame([(a, b)], "a string, b string").select(P.sketch(F.col("a")).alias("a"), P.sketch(F.col("b")).alias("b"))
+    plain = plain_sketches(spark, [a, b])
+    assert set(row.select(P.merge(F.col("a.hashes"), F.col("b.hashes"))).first()[0]) == plain[a][1] | plain[b][1]
 
 
 # 5
@@ -558,7 +677,15 @@ def test_mixing(spark, docs, odd, empty):
         taken[s] += r["taken"]
     assert all(abs(taken[s] - want[s]) < 0.25 * want[s] + 500 for s in sizes)
     assert op10_mixing(spark, SF).exceptAll(spark.createDataFrame(rows, op10_mixing(spark, SF).schema)).count() == 0
+    single = spark.createDataFrame([(i, "a b c", f"s{i:04}") for i in range(1500)], "doc_id long, text string, source string")
+    alone = mixing.report(single).collect()
+    rate = [r["target"] / 3 for r in alone]
+    assert len({round(x, 6) for x in rate}) >= 2 and all(r["taken"] // 3 in (int(x), int(x) + 1) for r, x in zip(alone, rate, strict=True))
+    for value in {round(x, 6) for x in rate}:
+        group = [r["taken"] / 3 for r, x in zip(alone, rate, strict=True) if round(x, 6) == value]
+        assert abs(np.mean(group) - value) < 4 * (0.25 / len(group)) ** 0.5  # copies come with the probability of the fraction
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r["taken"] // r["size"] for r in rows if r["size"])
     assert len(mixing.report(odd.select("doc_id", "text", "source")).collect()) == 12
+    assert {tuple(r)[5:] for r in mixing.mix(odd).collect()} == {tuple(r)[5:] for r in odd.collect()}
     assert mixing.mix(odd).columns == odd.columns and mixing.mix(empty).count() == 0 and mixing.report(empty).count() == 0

@@ -1,6 +1,6 @@
 """The pipeline's stages on the small table: each works on what the one before kept."""
 
-from test_operators import SF, check_packing, components, pieces_of, shingles
+from test_operators import SF, check_packing, components, empty, odd, pieces_of, shingles  # noqa: F401
 
 import corpus_pipeline
 from glyphflow.llm import mixing, quality
@@ -25,7 +25,7 @@ def test_stages(spark):
     before = {r["doc_id"]: r["text"] for r in rows[1]}
     assert all(r["text"] == before[r["doc_id"]] or "[" in r["text"] for r in rows[2])
     taken = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.report(tables[2]).collect() if r["size"]}
-    assert all(sum(x["doc_id"] == i for x in rows[3]) == n for i, n in list(taken.items())[:20]) and len(rows[3]) == sum(taken.values())
+    assert all(sum(x["doc_id"] == i for x in rows[3]) == n for i, n in taken.items()) and len(rows[3]) == sum(taken.values())
     assert pieces_of([(r["doc_id"], r["text"]) for r in rows[3]]).keys() == {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows[4]}
     check_packing(rows[4])
 
@@ -35,3 +35,14 @@ def test_repeated_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted((r["doc_id"] or -1, r["text"] or "") for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
     assert kept.count((1, "a b c d e f")) == 1 and (2, "a b c d e f") not in kept and (-1, "x y") in kept and sum(i == 4 for i, _ in kept) == 2
+
+
+def test_odd_rows_and_clashing_names(spark, odd, empty):  # noqa: F811
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns, name
+        rows = out.collect()
+        assert rows and all(tuple(r)[5:] == tuple(odd.first())[5:] for r in rows), name
+        none = stage(spark, empty, SF)
+        assert none.columns == empty.columns and none.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).count() >= 12 and corpus_pipeline.STAGES[-1][1](spark, empty, SF).count() == 0

@@ -202,14 +202,18 @@ class ByteLevel(Decoder):
         return self._text("".join(tokens))
 
     @staticmethod
-    def _text(text: str) -> str:
+    def bytes_of(text: str) -> bytes:
         out = bytearray()
         for c in text:
             if c in CHAR_TO_BYTE:
                 out.append(CHAR_TO_BYTE[c])
             else:
                 out += c.encode("utf-8", "surrogatepass")
-        return out.decode("utf-8", "replace")
+        return bytes(out)
+
+    @classmethod
+    def _text(cls, text: str) -> str:
+        return cls.bytes_of(text).decode("utf-8", "replace")
 
 
 @dataclass(frozen=True)

@@ -170,6 +170,11 @@ def struct(ids: Column, tokens: Column, offsets: Column, words: Column, type_id:
     return F.struct(ids.alias("ids"), repeat(type_id).alias("type_ids"), tokens.alias("tokens"), offsets.alias("offsets"), repeat(0).alias("special_tokens_mask"), repeat(1).alias("attention_mask"), words.alias("words"), ranges.alias("sequence_ranges"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once for each row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def truncate_column(array: Column, size: int) -> Column:
     return F.slice(array, 1, size)
 
@@ -178,8 +183,8 @@ def windows(array: Column, size: int, stride: int = 0) -> Column:
     """array<array>: the kept part and the overflowing windows of an array column; one empty window of an empty array."""
     if not 0 <= stride < size:
         raise ValueError("the stride must be less than the size")
-    last = F.greatest(F.size(array) - stride - 1, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last, F.lit(size - stride)), lambda at: F.slice(array, at + 1, F.lit(size)))
+    last = lambda a: F.greatest(F.size(a) - stride - 1, F.lit(0))
+    return _let(array, lambda a: F.transform(F.sequence(F.lit(0), last(a), F.lit(size - stride)), lambda at: F.slice(a, at + 1, F.lit(size))))
 
 
 def longest_first_columns(n: Column, m: Column, size: int) -> tuple[Column, Column]:
@@ -190,8 +195,8 @@ def longest_first_columns(n: Column, m: Column, size: int) -> tuple[Column, Colu
 
 
 def pad_column(array: Column, size: Column | int, value, left: bool = False) -> Column:
-    fill = F.array_repeat(F.lit(value), F.greatest((F.lit(size) if isinstance(size, int) else size) - F.size(array), F.lit(0)).cast("int"))
-    return F.concat(fill, array) if left else F.concat(array, fill)
+    fill = lambda a: F.array_repeat(F.lit(value), F.greatest((F.lit(size) if isinstance(size, int) else size) - F.size(a), F.lit(0)).cast("int"))
+    return _let(array, lambda a: F.concat(fill(a), a) if left else F.concat(a, fill(a)))
 
 
 def pad_to_longest(df: DataFrame, array_col: str, value, batch_col: str | None = None, left: bool = False) -> DataFrame:

@@ -18,8 +18,6 @@ from glyphflow.functions import patterns as P
 from glyphflow.functions.aligned import Aligned
 from glyphflow.operators.normalizers import is_punctuation
 
-#: Stands between pieces while a column is being split; it is dropped from the text first.
-MARK = "\x01"
 PUNCTUATION = r"[!-/:-@\[-`{-~\p{P}]"
 # Fixed value: the pattern of byte-level pieces; white space that no piece takes stays whole between them.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
@@ -41,23 +39,33 @@ def _no_groups(pattern: str) -> str:
 
 
 def behaviour_column(c: Column, pattern: str, behavior: str, inverted: bool = False) -> Column:
-    """Array of the pieces of a text under a delimiter pattern and one of the five behaviours."""
+    """Array of the pieces of a text under a delimiter pattern and one of the five behaviours.
+
+    The gaps between matches come from a split by the pattern, the matches from the pattern itself, and both are zipped.
+    """
     d = _no_groups(P.java(pattern))
-    c = F.translate(c, MARK, "")
-    pieces = lambda x: F.filter(F.split(x, MARK, -1), lambda t: t != "")
-    if behavior == "removed":
-        return F.regexp_extract_all(c, F.lit(d), F.lit(0)) if inverted else F.filter(F.split(c, d, -1), lambda t: t != "")
-    if behavior == "isolated":
-        return pieces(F.regexp_replace(c, f"({d})", f"{MARK}$1{MARK}"))
     if behavior == "contiguous":
-        return pieces(F.regexp_replace(c, f"((?:{d})+)", f"{MARK}$1{MARK}"))
+        d = f"(?:{d})+"
+    gaps, matches = F.split(c, d, -1), F.regexp_extract_all(c, F.lit(d), F.lit(0))
+    some = lambda a: F.filter(a, lambda t: t != "")
+    if behavior == "removed":
+        return matches if inverted else some(gaps)
+    if behavior in ("isolated", "contiguous"):
+        return some(F.flatten(F.zip_with(gaps, matches, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))))
     if behavior in ("merged_with_previous", "merged_with_next"):
         # under inversion the stretches between matches are the delimiters
-        after = (behavior == "merged_with_previous") != inverted
-        return pieces(F.regexp_replace(c, f"({d})", f"$1{MARK}" if after else f"{MARK}$1"))
+        joined = lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))
+        if (behavior == "merged_with_previous") != inverted:
+            return some(F.zip_with(gaps, matches, joined))
+        return some(_let(gaps, lambda g: F.concat(F.slice(g, 1, 1), F.zip_with(matches, F.slice(g, F.lit(2), F.size(g)), joined))))
     raise ValueError(f"no delimiter behaviour {behavior!r}")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once for each row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _extract(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
@@ -184,7 +192,7 @@ class ByteLevel:
         """Values before they are written as byte characters; ``byte_text`` writes them."""
         if self.add_prefix_space:
             c = F.when((c != "") & ~c.startswith(" "), F.concat(F.lit(" "), c)).otherwise(c)
-        return behaviour_column(c, BYTE_LEVEL, "isolated")
+        return _extract(c, P.java(BYTE_LEVEL) + r"|[\t\n\f\r ]+(?= [^\t\n\f\r ])|[\t\n\f\r ]+")
 
     @staticmethod
     def alphabet() -> frozenset[str]:

@@ -143,14 +143,20 @@ class RobertaProcessing:
 
 def trim_offsets(e: Encoding, add_prefix_space: bool) -> Encoding:
     """Take the spaces that byte-level tokens carry off their offsets; the first token keeps a space that was added."""
+    found = trimmed([(0, token, s, t) for token, (s, t) in zip(e.tokens, e.offsets, strict=True)], add_prefix_space)
+    return replace(e, offsets=tuple((s, t) for *_, s, t in found))
+
+
+def trimmed(tokens: list[tuple], add_prefix_space: bool) -> list[tuple]:
+    """The same on (id, token, start, end)."""
     out = []
-    for i, (token, (s, t)) in enumerate(zip(e.tokens, e.offsets, strict=True)):
+    for i, (number, token, s, t) in enumerate(tokens):
         lead, trail = len(token) - len(token.lstrip("Ġ")), len(token) - len(token.rstrip("Ġ"))
         if lead and i == 0 and add_prefix_space:
             lead -= 1
         s = min(s + lead, t)
-        out.append((s, max(t - trail, s)))
-    return replace(e, offsets=tuple(out))
+        out.append((number, token, s, max(t - trail, s)))
+    return out
 
 
 @dataclass(frozen=True)

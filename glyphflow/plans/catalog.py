@@ -46,6 +46,12 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *(columns or ("text",)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out rows that stand in fewer partitions than there are cores; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def digest(pieces: Column) -> list[Column]:
     return [F.size(pieces).cast("long").alias("n"), F.md5(F.array_join(pieces, "\x02").cast("binary")).alias("digest")]
 
@@ -102,7 +108,7 @@ SELECT doc_id, count(*) AS n, sum((e - strlen(v)) * (pos + 1))::BIGINT AS starts
 def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte offsets of every piece, by the Arrow kernel; no shuffle of pieces."""
     pipeline = Pipeline(M.WordLevel({"<unk>": 0}), None, T.Whitespace())
-    e = pipeline.encode(documents(spark, sf_dir), keep=["doc_id"])
+    e = pipeline.encode(spread(documents(spark, sf_dir)), keep=["doc_id"], fields=("ids", "offsets"))
     total = lambda c: F.aggregate(F.transform(e["encoding.offsets"], lambda o, i: o[c].cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
     return e.where(F.size("encoding.ids") > 0).select("doc_id", F.size("encoding.ids").cast("long").alias("n"), total("start").alias("starts"), total("end").alias("ends"))
 
@@ -193,14 +199,14 @@ def bpe_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = BpeTrainer(400, 2).train(word_counts(words(spark, sf_dir)))
-    e = Pipeline(model, N.Lowercase(), T.Whitespace()).encode(documents(spark, sf_dir), keep=["doc_id"])
+    e = Pipeline(model, N.Lowercase(), T.Whitespace()).encode(spread(documents(spark, sf_dir)), keep=["doc_id"], fields=("tokens",))
     return e.select("doc_id", *digest(e["encoding.tokens"]))
 
 
 @query()
 def wordpiece_train_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = WordPieceTrainer(BpeTrainer(400, 2, continuing_subword_prefix="##")).train(word_counts(words(spark, sf_dir)))
-    e = Pipeline(model, N.Bert(), T.Bert()).encode(documents(spark, sf_dir), keep=["doc_id"])
+    e = Pipeline(model, N.Bert(), T.Bert()).encode(spread(documents(spark, sf_dir)), keep=["doc_id"], fields=("tokens",))
     return e.select("doc_id", *digest(e["encoding.tokens"]))
 
 
@@ -237,7 +243,7 @@ def unigram_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vocab_from_counts(counts, VOCAB_SIZE, ("<unk>",)).join(counts.withColumnRenamed("word", "token"), "token", "left").select("id", "token", F.log(F.coalesce("count", F.lit(1))).alias("score")).orderBy("id").collect()
     chars = sorted({c for r in rows[1:] for c in r["token"]} - {r["token"] for r in rows})
     scores = tuple((r["token"], r["score"] - 20) for r in rows) + tuple((c, -22.0) for c in chars)
-    e = Pipeline(M.Unigram(scores, 0), N.Lowercase(), T.Whitespace()).encode(documents(spark, sf_dir), keep=["doc_id"])
+    e = Pipeline(M.Unigram(scores, 0), N.Lowercase(), T.Whitespace()).encode(spread(documents(spark, sf_dir)), keep=["doc_id"], fields=("tokens",))
     return e.select("doc_id", *digest(e["encoding.tokens"]))
 
 
@@ -321,7 +327,7 @@ SELECT d.doc_id, max(CASE WHEN e - strlen(v) <= 100 AND 100 < e THEN pos END)::I
 """)
 def char_to_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The word that byte 100 of each text lies in."""
-    e = Pipeline(M.WordLevel({"<unk>": 0}), None, T.Whitespace()).encode(documents(spark, sf_dir), keep=["doc_id"])
+    e = Pipeline(M.WordLevel({"<unk>": 0}), None, T.Whitespace()).encode(spread(documents(spark, sf_dir)), keep=["doc_id"], fields=("offsets",))
     return e.select("doc_id", E.char_to_token_column(e["encoding.offsets"], F.lit(100)).alias("token"))
 
 
@@ -332,7 +338,7 @@ SELECT doc_id, len(p)::BIGINT AS n, md5(array_to_string(p, chr(2))) AS digest FR
 def added_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two added single words cut out of every text."""
     pipeline = Pipeline(M.WordLevel({"<unk>": 0})).with_tokens(AddedToken("the", single_word=True), AddedToken("of", single_word=True))
-    e = pipeline.encode(documents(spark, sf_dir), keep=["doc_id"])
+    e = pipeline.encode(spread(documents(spark, sf_dir)), keep=["doc_id"], fields=("tokens",))
     return e.select("doc_id", *digest(e["encoding.tokens"]))
 
 
@@ -362,5 +368,5 @@ def bytelevel_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts cut at byte level, encoded with an id for each byte character, and decoded again."""
     model = M.BPE({c: b for b, c in T.BYTE_TO_CHAR.items()}, {})
     pipeline = Pipeline(model, None, T.ByteLevel(False), R.ByteLevelProcessing(), D.ByteLevel())
-    e = pipeline.encode(documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", F.col("encoding.ids").alias("ids"))
+    e = pipeline.encode(spread(documents(spark, sf_dir)), keep=["doc_id"], fields=("ids",)).select("doc_id", F.col("encoding.ids").alias("ids"))
     return pipeline.decode(e).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))

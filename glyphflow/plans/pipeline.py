@@ -1,14 +1,15 @@
 """The pipeline: normalise, cut, model, assemble, post-process; and back.
 
 ``encode`` maps a DataFrame.  A text is encoded in one Arrow pass on the worker that reads
-it: no token is ever shuffled, and each worker segments a word once (its model's
-memo), which is what a join with a table of distinct words would buy, without
+it: no token is ever shuffled, and each worker encodes a segment of text once
+(``batches.Segments``), which is what a join with a table of distinct words would buy, without
 the two shuffles of all words.  ``word_tokens`` is that join, for pipelines whose
 stages have a column form and a model too slow to run in every worker.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
@@ -16,9 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphflow.functions.aligned import Aligned
+from glyphflow.operators import decoders as D
 from glyphflow.operators import encodings as E
 from glyphflow.operators import processors
 from glyphflow.operators.added_tokens import AddedToken, AddedVocabulary
+from glyphflow.plans import batches as B
 
 
 @dataclass(frozen=True)
@@ -41,6 +44,7 @@ class Padding:
 
 
 ENCODED = f"chunk int, encoding {E.ENCODING}"
+FIELDS = (*E.ARRAYS, "sequence_ranges")
 
 
 @dataclass(frozen=True)
@@ -93,21 +97,28 @@ class Pipeline:
         parts = [text] if isinstance(text, str) else text
         for w, part in enumerate(parts):
             at = _char_offsets(part) if offset_type == "char" else None
-            n = 0
-            for piece, found in self.added.extract(part, self.normalizer):
-                cut = [piece] if found is not None or self.pretokenizer is None else self.pretokenizer.split(piece)
-                for p in cut:
-                    if not p.text:
-                        continue
-                    got = [(found, self.id_to_token(found), 0, len(p.alignments()))] if found is not None else self.model.word(p.text)
-                    table = p.alignments() if got else []
-                    for i, token, s, e in got:
-                        a, b = (table[s][0], max(x[1] for x in table[s:e])) if s < e else (table[s - 1][1],) * 2 if s else p.original_span(0, 0)
-                        tokens.append((i, token, at[a], at[b]) if at else (i, token, a, b))
-                        words.append(n if isinstance(text, str) else w)
-                    n += 1
+            found, numbers = self.sequence_tokens(part, self.pretokenizer)
+            tokens += [(i, token, at[a], at[b]) for i, token, a, b in found] if at else found
+            words += numbers[:-1] if isinstance(text, str) else [w] * len(found)
         return E.Encoding.of(tokens, type_id, words)
 
+    def sequence_tokens(self, text: str, pretokenizer) -> tuple[list, list[int]]:
+        """[(id, token, start, end)] in bytes of the original; the word of each, and at the end the number of the last word."""
+        tokens, words, n = [], [], 0
+        for piece, found in self.added.extract(text, self.normalizer):
+            cut = [piece] if found is not None or pretokenizer is None else pretokenizer.split(piece)
+            for p in cut:
+                if not p.text:
+                    continue
+                got = [(found, self.id_to_token(found), 0, len(p.alignments()))] if found is not None else self.model.word(p.text)
+                table = p.alignments() if got else []
+                for i, token, s, e in got:
+                    a, b = (table[s][0], max(x[1] for x in table[s:e])) if s < e else (table[s - 1][1],) * 2 if s else p.original_span(0, 0)
+                    tokens.append((i, token, a, b))
+                    words.append(n)
+                n += 1
+        return tokens, [*words, n - 1]
+
     def encode_one(self, text, pair=None, add_special_tokens: bool = True, offset_type: str = "byte") -> E.Encoding:
         a = self.encode_sequence(text, 0, offset_type)
         b = None if pair is None else self.encode_sequence(pair, 1, offset_type)
@@ -134,24 +145,35 @@ class Pipeline:
 
     # DataFrames
 
-    def encode(self, df: DataFrame, text_col: str = "text", pair_col: str | None = None, add_special_tokens: bool = True, offset_type: str = "byte", keep: list[str] | None = None) -> DataFrame:
+    def encode(self, df: DataFrame, text_col: str = "text", pair_col: str | None = None, add_special_tokens: bool = True, offset_type: str = "byte", keep: list[str] | None = None, fields: tuple[str, ...] = FIELDS) -> DataFrame:
         """The ``keep`` columns (all but the texts), ``chunk`` and ``encoding``: chunk 0 and one row for each overflowing window.
 
         A null text encodes as the empty one; a null pair as no pair.  Works on a streaming DataFrame too, except padding to the longest.
+        ``fields`` are the arrays that are wanted; what an Arrow function returns cannot be pruned by the optimiser, so others may be null.
         """
         if self.padding and not self.padding.length and df.isStreaming:
             raise ValueError("padding to the longest needs a bounded table; pad a stream to a fixed size")
         keep = [c for c in df.columns if c not in (text_col, pair_col)] if keep is None else keep
+        kept, name = [F.col(f"`{c}`") for c in keep], uuid.uuid4().hex
+        parts = B.frame(self.processor, add_special_tokens)
+        if parts is not None and pair_col is None and offset_type == "byte" and not self.truncation and not self.padding:
+
+            @F.arrow_udf(E.ENCODING)
+            def single(column: pa.Array) -> pa.Array:
+                return B.encode(B.Segments.of(name, self), column, parts, fields)
+
+            # else a filter on the encoding would be pushed below it, with an encoding of its own
+            return df.select(*kept, F.lit(0).alias("chunk"), single.asNondeterministic()(F.col(text_col)).alias("encoding"))
 
         @F.arrow_udf(f"array<{E.ENCODING}>")
         def run(*columns: pa.Array) -> pa.Array:
             texts = columns[0].to_pylist()
             pairs = columns[1].to_pylist() if len(columns) > 1 else [None] * len(texts)
             rows = [[_record(c) for c in self.encode_one("" if t is None else t, p, add_special_tokens, offset_type).chunks()] for t, p in zip(texts, pairs, strict=True)]
-            return pa.array(rows, pa.list_(_ARROW))
+            return pa.array(rows, pa.list_(B.ARROW))
 
         found = run(F.col(text_col), *([F.col(pair_col)] if pair_col else []))
-        out = df.select(*[F.col(f"`{c}`") for c in keep], F.posexplode(found).alias("chunk", "encoding"))
+        out = df.select(*kept, F.posexplode(found).alias("chunk", "encoding"))
         if self.padding and not self.padding.length:
             out = self._pad_longest(out)
         return out
@@ -178,11 +200,31 @@ class Pipeline:
     def decode(self, df: DataFrame, ids_col: str = "ids", out_col: str = "text", skip_special_tokens: bool = True) -> DataFrame:
         """All columns of ``df`` and the text of its id arrays; unknown ids are dropped, null arrays give null."""
 
+        name, ids = uuid.uuid4().hex, F.col(ids_col)
+        if isinstance(self.decoder, D.ByteLevel):
+
+            @F.arrow_udf("string")
+            def texts(column: pa.Array) -> pa.Array:
+                return B.Names.of(name, self, skip_special_tokens).texts(column)
+
+            return df.withColumn(out_col, F.when(ids.isNotNull(), texts(ids)))
+
+        @F.arrow_udf("array<string>")
+        def names(column: pa.Array) -> pa.Array:
+            return B.Names.of(name, self, skip_special_tokens).tokens(column)
+
+        if self.decoder is None:
+            return df.withColumn(out_col, F.when(ids.isNotNull(), F.array_join(names(ids), " ")))
+        strings = self.decoder.column(names(ids))
+        if strings is not None:
+            return df.withColumn(out_col, F.when(ids.isNotNull(), F.array_join(strings, "")))
+
         @F.arrow_udf("string")
         def run(column: pa.Array) -> pa.Array:
-            return pa.array([None if ids is None else self.decode_one(ids, skip_special_tokens) for ids in column.to_pylist()], pa.string())
+            tokens = B.Names.of(name, self, skip_special_tokens).tokens(column)
+            return pa.array([self.decoder.decode(t) for t in tokens.to_pylist()], pa.string())
 
-        return df.withColumn(out_col, run(F.col(ids_col)))
+        return df.withColumn(out_col, F.when(ids.isNotNull(), run(ids)))
 
     def words(self, df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
         """(keep, pos, word): normalised and cut, inside code generation where every stage has a column form."""
@@ -220,12 +262,6 @@ class Pipeline:
         return words.join(distinct, "word").select(*[F.col(f"`{k}`") for k in keep or []], "pos", "word", "tokens")
 
 
-_ARROW = pa.struct([
-    ("ids", pa.list_(pa.int32())), ("type_ids", pa.list_(pa.int32())), ("tokens", pa.list_(pa.string())), ("offsets", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-    ("special_tokens_mask", pa.list_(pa.int32())), ("attention_mask", pa.list_(pa.int32())), ("words", pa.list_(pa.int32())), ("sequence_ranges", pa.map_(pa.int32(), pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-])
-
-
 def _record(e: E.Encoding) -> dict:
     span = lambda s: {"start": s[0], "end": s[1]}
     ranges = e.sequence_ranges or {0: (0, len(e))}

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphflow.functions import arrays as A
 from glyphflow.operators import decoders as D
 from glyphflow.operators import encodings as E
 from glyphflow.operators import models as M
@@ -18,6 +19,7 @@ from glyphflow.operators import processors as R
 from glyphflow.operators.added_tokens import AddedToken
 from glyphflow.operators.training import BpeTrainer, WordPieceTrainer, alphabet, pair_counts, word_counts
 from glyphflow.plans.pipeline import Pipeline
+from glyphflow.sources import config as C
 from glyphflow.sources.vocab import vocab_from_counts
 
 QUERIES: dict = {}
@@ -217,13 +219,13 @@ k AS (SELECT DISTINCT unnest(string_split(word, '')) AS t FROM w UNION SELECT wo
 
 
 @query(f"""
-WITH RECURSIVE {_PIECE_VOCAB}, d AS (SELECT DISTINCT word FROM w WHERE length(word) <= 100),
-s AS (SELECT word, 0 AS pos, 0 AS k, '' AS pieces FROM d
+WITH RECURSIVE {_PIECE_VOCAB}, d AS (SELECT DISTINCT word FROM w),
+s AS (SELECT word, 0 AS pos, 0 AS k, '' AS pieces FROM d WHERE length(word) <= 100
   UNION ALL
   SELECT s.word, s.pos + max(length(k.t)), s.k + 1, s.pieces || CASE WHEN s.pos > 0 THEN ' ##' ELSE '' END || arg_max(k.t, length(k.t))
   FROM s JOIN k ON k.t = substr(s.word, s.pos + 1, length(k.t)) AND length(k.t) <= length(s.word) - s.pos AND substr(s.word, s.pos + 1, 1) = substr(k.t, 1, 1)
   WHERE s.pos < length(s.word) GROUP BY s.word, s.pos, s.k, s.pieces)
-SELECT word, pieces FROM s WHERE pos = length(word)
+SELECT word, pieces FROM s WHERE pos = length(word) UNION ALL SELECT word, '[UNK]' FROM d WHERE length(word) > 100
 """)
 def wordpiece_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy pieces of every distinct word, over a vocabulary of frequent words and characters."""
@@ -233,7 +235,7 @@ def wordpiece_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = [r[0] for r in top.unionByName(chars).distinct().orderBy("word").collect()]  # at most 300 words and the alphabet
     vocab = {t: i for i, t in enumerate(["[UNK]", *pieces, *(f"##{p}" for p in pieces)])}
     pipeline = Pipeline(M.WordPiece(vocab), N.Lowercase(), T.Whitespace())
-    distinct = pipeline.word_tokens(table(spark, sf_dir, "documents")).select("word", "tokens").where(F.length("word") <= 100).dropDuplicates(["word"])
+    distinct = pipeline.word_tokens(table(spark, sf_dir, "documents")).select("word", "tokens").dropDuplicates(["word"])
     return distinct.select("word", F.array_join(F.transform("tokens", lambda t: t["token"]), " ").alias("pieces"))
 
 
@@ -344,7 +346,7 @@ def added_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # decoders
 
-_TOKENS = f"WITH p AS (SELECT doc_id, {_LIST} AS p FROM documents) SELECT doc_id, md5(array_to_string({{}}, '')) AS digest FROM p"
+_TOKENS = f"WITH p AS (SELECT doc_id, {_LIST} AS p FROM documents) SELECT doc_id, md5(array_to_string({{}}, chr(2))) AS digest FROM p"
 _CLEAN = "t"
 for _a, _b in D.CLEANUP:
     _CLEAN = f"replace({_CLEAN}, '{_sql(_a)}', '{_sql(_b)}')"
@@ -352,14 +354,14 @@ _DECODERS = {
     "decode_wordpiece": (D.WordPiece("th"), "list_transform(list_transform(p, lambda t, i: CASE WHEN i = 1 THEN t WHEN starts_with(t, 'th') THEN substr(t, 3) ELSE ' ' || t END), lambda t: " + _CLEAN + ")"),
     "decode_bpe": (D.BPE("e"), "list_transform(p, lambda t, i: replace(t, 'e', CASE WHEN i = len(p) THEN '' ELSE ' ' END))"),
     "decode_ctc": (D.CTC("the", "e", False), "list_filter(list_transform(list_filter(p, lambda t, i: i = 1 OR t <> p[i - 1]), lambda t: replace(t, 'the', '')), lambda t: t <> '')"),
-    "decode_fuse": (D.Fuse(), "p"),
+    "decode_fuse": (D.Fuse(), "[array_to_string(p, '')]"),
     "decode_strip": (D.Strip("t", 1, 2), r"list_transform(p, lambda t: regexp_replace(regexp_replace(t, '^t', ''), 't{1,2}$', ''))"),
     "decode_replace": (D.Replace("e", "_"), "list_transform(p, lambda t: replace(t, 'e', '_'))"),
     "decode_metaspace": (D.Metaspace("e"), "list_transform(p, lambda t, i: replace(t, 'e', CASE WHEN i = 1 THEN '' ELSE ' ' END))"),
-    "decode_sequence": (D.Sequence((D.Replace("e", "_"), D.Fuse())), "list_transform(p, lambda t: replace(t, 'e', '_'))"),
+    "decode_sequence": (D.Sequence((D.Replace("e", "_"), D.Fuse())), "[array_to_string(list_transform(p, lambda t: replace(t, 'e', '_')), '')]"),
 }
 for _name, (_stage, _oracle) in _DECODERS.items():
-    QUERIES[_name] = lambda spark, sf_dir, stage=_stage: documents(spark, sf_dir).select("doc_id", T.Whitespace().column(F.col("text")).alias("p")).select("doc_id", F.md5(F.array_join(stage.column(F.col("p")), "").cast("binary")).alias("digest"))
+    QUERIES[_name] = lambda spark, sf_dir, stage=_stage: documents(spark, sf_dir).select("doc_id", T.Whitespace().column(F.col("text")).alias("p")).select("doc_id", F.md5(F.array_join(stage.column(F.col("p")), "\x02").cast("binary")).alias("digest"))
     ORACLES[_name] = _TOKENS.format(_oracle)
 
 
@@ -370,3 +372,219 @@ def bytelevel_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pipeline = Pipeline(model, None, T.ByteLevel(False), R.ByteLevelProcessing(), D.ByteLevel())
     e = pipeline.encode(spread(documents(spark, sf_dir)), keep=["doc_id"], fields=("ids",)).select("doc_id", F.col("encoding.ids").alias("ids"))
     return pipeline.decode(e).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL")
+def decode_byte_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every byte of a text as a byte token, decoded again."""
+    model = M.BPE({f"<0x{b:02X}>": b for b in range(256)}, {})
+    ids = F.transform(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int"))
+    rows = spread(documents(spark, sf_dir)).where("text is not null").select("doc_id", ids.alias("ids"))
+    return Pipeline(model, decoder=D.ByteFallback()).decode(rows).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+# merges: training and encoding
+
+_MERGES = 12
+
+
+def _merge_sql(prefix: str) -> str:
+    """Word counts, and _MERGES times the most frequent pair (the least of equals) merged in every word; symbols stand between two marks."""
+    mark = lambda x: f"chr(1) || {x} || chr(2)"
+    out = [f"{_W}, s0 AS MATERIALIZED (SELECT word, count(*) AS n, array_to_string(list_transform(string_split(word, ''), lambda c, i: chr(1) || CASE WHEN i > 1 THEN '{prefix}' ELSE '' END || c || chr(2)), '') AS s FROM w GROUP BY word)"]
+    for k in range(_MERGES):
+        out.append(f"l{k} AS MATERIALIZED (SELECT n, regexp_extract_all(s, '\x01([^\x01\x02]*)\x02', 1) AS l FROM s{k})")
+        out.append(f"p{k} AS MATERIALIZED (SELECT l[i] AS a, l[i + 1] AS b FROM l{k}, unnest(range(1, len(l))) t(i) GROUP BY ALL ORDER BY sum(n) DESC, a, b LIMIT 1)")
+        joined = f"a || substr(b, {len(prefix) + 1})"
+        out.append(f"s{k + 1} AS MATERIALIZED (SELECT word, n, replace(s, {mark('a')} || {mark('b')}, {mark(f'({joined})')}) AS s FROM s{k}, p{k})")
+    return ", ".join(out)
+
+
+def _trainer(counts: DataFrame, prefix: str) -> BpeTrainer:
+    """One that ends after _MERGES merges: it starts from the alphabet and, under a prefix, the continuing characters."""
+    chars = counts.select(F.filter(F.split("word", ""), lambda c: c != "").alias("c"))
+    start = chars.select(F.explode(F.transform("c", lambda c, i: F.when(i > 0, F.concat(F.lit(prefix), c)).otherwise(c)))).union(chars.select(F.explode("c")))
+    return BpeTrainer(start.distinct().count() + _MERGES, 1, continuing_subword_prefix=prefix)
+
+
+@query(f"WITH {_merge_sql('')} SELECT word, array_to_string(regexp_extract_all(s, '\x01([^\x01\x02]*)\x02', 1), ' ') AS pieces FROM s{_MERGES}")
+def bpe_merged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges trained on all words, and every distinct word encoded with them."""
+    every = words(spark, sf_dir).persist()
+    counts = word_counts(every)
+    model = _trainer(counts, "").train(counts)
+    pieces = Pipeline(model, N.Lowercase(), T.Whitespace()).word_tokens(table(spark, sf_dir, "documents")).dropDuplicates(["word"])
+    every.unpersist()
+    return pieces.select("word", F.array_join(F.transform("tokens", lambda t: t["token"]), " ").alias("pieces"))
+
+
+@query(f"WITH {_merge_sql('##')} " + " UNION ALL ".join(f"SELECT {k} AS rank, a || substr(b, 3) AS token FROM p{k}" for k in range(_MERGES)))
+def wordpiece_trained_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens that training a piece vocabulary adds to the characters, in their order."""
+    counts = word_counts(words(spark, sf_dir))
+    trainer = _trainer(counts, "##")
+    vocab = WordPieceTrainer(BpeTrainer(trainer.vocab_size + 1, 1, continuing_subword_prefix="##")).train(counts).vocab
+    last = sorted(vocab.items(), key=lambda x: x[1])[-_MERGES:]
+    return spark.createDataFrame([(k, token) for k, (token, _) in enumerate(last)], "rank int, token string")
+
+
+# configurations
+
+_PRE_CONFIGS = {
+    "whitespace_words": {"type": "Whitespace"},
+    "whitespace_split": {"type": "WhitespaceSplit"},
+    "bert_pieces": {"type": "BertPreTokenizer"},
+    "digits_contiguous": {"type": "Digits", "individual_digits": False},
+    "punctuation_pieces": {"type": "Punctuation", "behavior": "Isolated"},
+    "delimiter_split": {"type": "CharDelimiterSplit", "delimiter": "e"},
+    "metaspace_pieces": {"type": "Metaspace", "replacement": "▁", "add_prefix_space": True},
+    "bytelevel_pieces": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True},
+    "digits_individual": {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}]},
+}
+_SPLIT_CONFIG = {"type": "Split", "pattern": {"Regex": "[aeiou]+"}, "behavior": "MergedWithNext", "invert": False}
+
+
+@query("SELECT doc_id, " + ", ".join(f"md5(array_to_string({_PIECES[k][1]}, chr(2))) AS {k}" for k in _PRE_CONFIGS) + f", md5(array_to_string({_SPLIT_SQL['merged_with_next', False]}, chr(2))) AS split_merged FROM documents")
+def config_pretokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-tokenizers made from their configurations."""
+    made = {k: C.create_pretokenizer(c) for k, c in (_PRE_CONFIGS | {"split_merged": _SPLIT_CONFIG}).items()}
+    return documents(spark, sf_dir).select("doc_id", *[F.md5(F.array_join(p.column(F.col("text")), "\x02").cast("binary")).alias(k) for k, p in made.items()])
+
+
+_NORM_CONFIGS = {
+    "norm_lowercase": {"type": "Lowercase"},
+    "norm_strip": {"type": "Strip", "strip_left": True, "strip_right": True},
+    "norm_replace_regex": {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": "_"},
+    "norm_replace_literal": {"type": "Replace", "pattern": {"String": "th"}, "content": "$1"},
+    "norm_prepend": {"type": "Prepend", "prepend": "▁"},
+    "norm_bert": {"type": "BertNormalizer", "clean_text": True, "handle_chinese_chars": True, "lowercase": True, "strip_accents": False},
+    "norm_strip_marks": {"type": "StripAccents"},
+    "norm_sequence": {"type": "Sequence", "normalizers": [{"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": "[aeiou]+"}, "content": ""}, {"type": "Strip", "strip_left": True, "strip_right": True}]},
+}
+
+
+@query("SELECT doc_id, " + ", ".join(f"md5({_TEXTS[k][1]}) AS {k}" for k in _NORM_CONFIGS) + " FROM documents")
+def config_normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalizers made from their configurations."""
+    return documents(spark, sf_dir).select("doc_id", *[F.md5(C.create_normalizer(c).column(F.col("text")).cast("binary")).alias(k) for k, c in _NORM_CONFIGS.items()])
+
+
+_DECODER_CONFIGS = {
+    "decode_wordpiece": {"type": "WordPiece", "prefix": "th", "cleanup": True},
+    "decode_bpe": {"type": "BPEDecoder", "suffix": "e"},
+    "decode_ctc": {"type": "CTC", "pad_token": "the", "word_delimiter_token": "e", "cleanup": False},
+    "decode_fuse": {"type": "Fuse"},
+    "decode_strip": {"type": "Strip", "content": "t", "start": 1, "stop": 2},
+    "decode_replace": {"type": "Replace", "pattern": {"String": "e"}, "content": "_"},
+    "decode_metaspace": {"type": "Metaspace", "replacement": "e", "add_prefix_space": True},
+    "decode_sequence": {"type": "Sequence", "decoders": [{"type": "Replace", "pattern": {"String": "e"}, "content": "_"}, {"type": "Fuse"}]},
+}
+
+
+@query(f"WITH p AS (SELECT doc_id, {_LIST} AS p FROM documents) SELECT doc_id, " + ", ".join(f"md5(array_to_string({_DECODERS[k][1]}, chr(2))) AS {k}" for k in _DECODER_CONFIGS) + " FROM p")
+def config_decoders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoders made from their configurations."""
+    pieces = documents(spark, sf_dir).select("doc_id", T.Whitespace().column(F.col("text")).alias("p"))
+    return pieces.select("doc_id", *[F.md5(F.array_join(C.create_decoder(c).column(F.col("p")), "\x02").cast("binary")).alias(k) for k, c in _DECODER_CONFIGS.items()])
+
+
+# post-processors over pairs; every word is unknown to the vocabulary and keeps its text
+
+_PAIR_MODEL = {"type": "WordLevel", "vocab": {"<unk>": 0, "[CLS]": 101, "[SEP]": 102, "<s>": 1, "</s>": 2}, "unk_token": "<unk>"}
+_SEP = [{"SpecialToken": {"id": "[SEP]", "type_id": 0}}]
+_PAIR_CONFIGS = {
+    "pair_bert": ({"type": "BertProcessing", "sep": ["[SEP]", 102], "cls": ["[CLS]", 101]}, "list_concat(['[CLS]'], x, ['[SEP]'], y, ['[SEP]'])", "m + 1", 3),
+    "pair_roberta": ({"type": "RobertaProcessing", "sep": ["</s>", 2], "cls": ["<s>", 0], "trim_offsets": True, "add_prefix_space": False}, "list_concat(['<s>'], x, ['</s>'], ['</s>'], y, ['</s>'])", "m + 2", 4),
+    "pair_bytelevel": ({"type": "ByteLevel", "trim_offsets": True, "add_prefix_space": False}, "list_concat(x, y)", "m", 0),
+    "pair_sequence": ({"type": "Sequence", "processors": [{"type": "ByteLevel", "trim_offsets": True, "add_prefix_space": False}]}, "list_concat(x, y)", "m", 0),
+    "pair_template": ({"type": "TemplateProcessing", "single": [{"Sequence": {"id": "A", "type_id": 0}}, *_SEP], "pair": [{"Sequence": {"id": "A", "type_id": 0}}, *_SEP, {"Sequence": {"id": "B", "type_id": 1}}], "special_tokens": {"[SEP]": {"id": "[SEP]", "ids": [102], "tokens": ["[SEP]"]}}}, "list_concat(x, ['[SEP]'], y)", "m", 1),
+}
+
+
+def _pairs_encoded(spark: SparkSession, sf_dir: str, config: dict) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    both = turns.join(turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next")), ["conv_id", "turn"])
+    p = C.pipeline_of({"model": _PAIR_MODEL, "pre_tokenizer": {"type": "Whitespace"}, "post_processor": config})
+    e = p.encode(both, "text", "next")
+    total = lambda c: F.aggregate(e[f"encoding.{c}"], F.lit(0), lambda s, v: s + v).cast("long").alias(c)
+    return e.select("conv_id", "turn", *digest(e["encoding.tokens"]), total("type_ids"), total("special_tokens_mask"), total("attention_mask"))
+
+
+for _name, (_config, _oracle, _types, _specials) in _PAIR_CONFIGS.items():
+    QUERIES[_name] = lambda spark, sf_dir, config=_config: _pairs_encoded(spark, sf_dir, config)
+    ORACLES[_name] = f"""
+WITH {_TURNS}, t AS (SELECT conv_id, turn, {_oracle} AS l, len(x) AS n, len(y) AS m FROM p)
+SELECT conv_id, turn, len(l)::BIGINT AS n, md5(array_to_string(l, chr(2))) AS digest, ({_types})::BIGINT AS type_ids, {_specials}::BIGINT AS special_tokens_mask, len(l)::BIGINT AS attention_mask FROM t
+"""
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '{_sql(WORDS)}|[\t\n\f\r ]+') AS l FROM documents),
+u AS (SELECT doc_id, unnest(l) AS v, generate_subscripts(l, 1) AS i FROM t),
+o AS (SELECT doc_id, v, sum(strlen(v)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM u),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY e) - 1 AS pos FROM o WHERE NOT regexp_full_match(v, '[\t\n\f\r ]+'))
+SELECT d.doc_id, max(CASE WHEN pos = 3 THEN 3 END)::INT AS first_token, max(CASE WHEN pos = 3 THEN 4 END)::INT AS end_token, max(CASE WHEN pos = 3 THEN e - strlen(v) END)::INT AS word_start, max(CASE WHEN pos = 3 THEN e END)::INT AS word_end,
+max(CASE WHEN e - strlen(v) <= 200 AND 200 < e THEN pos END)::INT AS word_of_byte, max(CASE WHEN pos = 5 THEN 0 END)::INT AS sequence_of_token, 1::INT AS n_sequences
+FROM documents d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id
+""")
+def encoding_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and bytes of word 3, the word of byte 200 and the sequence of token 5 of each text."""
+    p = Pipeline(M.WordLevel({"<unk>": 0}), None, T.Whitespace())
+    e = p.encode(spread(documents(spark, sf_dir)), keep=["doc_id"], fields=("offsets", "words", "sequence_ranges")).select("doc_id", "encoding.*")
+    e = e.withColumn("span", E.word_to_tokens_column(F.col("words"), F.lit(3))).withColumn("at", E.char_to_token_column(F.col("offsets"), F.lit(200)))
+    return e.select(
+        "doc_id", F.col("span.start").alias("first_token"), F.col("span.end").alias("end_token"), F.get("offsets", F.col("span.start"))["start"].alias("word_start"), F.get("offsets", F.col("span.end") - 1)["end"].alias("word_end"),
+        F.get("words", F.col("at")).alias("word_of_byte"), E.token_to_sequence_column(F.col("sequence_ranges"), F.lit(5)).alias("sequence_of_token"), F.size("sequence_ranges").alias("n_sequences"),
+    )
+
+
+# Unicode forms: composed again, and of characters whose compatibility forms are known
+
+@query(r"""
+WITH t AS (SELECT doc_id, text, regexp_replace(text, '[^\x00-\x7F]', 'ﬁ', 'g') AS x FROM documents)
+SELECT doc_id, md5(nfc_normalize(text)) AS composed, md5(replace(x, 'ﬁ', 'fi')) AS nfkc, md5(replace(x, 'ﬁ', 'fi')) AS nfkd, md5(x) AS nfd FROM t
+""")
+def unicode_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form = {f: A.unicode_form(f) for f in ("NFC", "NFD", "NFKC", "NFKD")}
+    t = documents(spark, sf_dir).select("doc_id", "text", F.regexp_replace("text", r"[^\x00-\x7F]", "ﬁ").alias("x"))
+    digest_of = lambda c, name: F.md5(c.cast("binary")).alias(name)
+    return t.select("doc_id", digest_of(form["NFC"](form["NFD"]("text")), "composed"), digest_of(form["NFKC"]("x"), "nfkc"), digest_of(form["NFKD"]("x"), "nfkd"), digest_of(form["NFD"]("x"), "nfd"))
+
+
+# array functions, on the first eight pieces of each text and on their lengths
+
+_ARRAYS: dict[str, tuple] = {
+    "merged": (lambda a, n: A.merge(a, F.reverse(a)), "list_concat(a, list_reverse(a))"),
+    "repeated": (lambda a, n: A.repeat("x", F.size(a)), "list_transform(a, lambda t: 'x')"),
+    "ranged": (lambda a, n: A.make_range(F.lit(2), F.size(a)), "range(2, greatest(len(a), 2))"),
+    "without": (lambda a, n: A.cut(a, 1, 3), "list_concat(a[1:1], a[4:])"),
+    "deleted": (lambda a, n: A.delete(a, 2), "list_concat(a[1:2], a[4:])"),
+    "expanded": (lambda a, n: A.expand(a, 2, 3, "z"), "list_concat(a[1:2], ['z', 'z', 'z'], a[3:])"),
+    "extended": (lambda a, n: A.extend(a, 2, "z"), "list_concat(a, ['z', 'z'])"),
+    "filtered": (lambda a, n: F.filter(a, lambda t: F.length(t) > 3), "list_filter(a, lambda t: length(t) > 3)"),
+    "inserted": (lambda a, n: A.insert(a, "z", 1), "list_concat(a[1:1], ['z'], a[2:])"),
+    "inserted_all": (lambda a, n: A.insert_all(a, F.reverse(a), 1), "list_concat(a[1:1], list_reverse(a), a[2:])"),
+    "pushed": (lambda a, n: A.push(a, "z"), "list_append(a, 'z')"),
+    "pushed_front": (lambda a, n: A.push_front(a, "z"), "list_prepend('z', a)"),
+    "popped": (lambda a, n: F.concat(A.pop(a)["rest"], F.array(F.coalesce(A.pop(a)["value"], F.lit("")))), "list_concat(a[1:greatest(len(a) - 1, 0)], [coalesce(a[-1], '')])"),
+    "popped_front": (lambda a, n: F.concat(A.pop_front(a)["rest"], F.array(F.coalesce(A.pop_front(a)["value"], F.lit("")))), "list_concat(a[2:], [coalesce(a[1], '')])"),
+    "reversed": (lambda a, n: A.reverse(a), "list_reverse(a)"),
+    "shuffled": (lambda a, n: F.array_sort(A.shuffle(a, 7)), "list_sort(a)"),
+    "batches": (lambda a, n: F.transform(A.batch(a, 3), lambda b: F.array_join(b, "+")), "list_transform(range(0, len(a), 3), lambda i: array_to_string(a[i + 1 : i + 3], '+'))"),
+    "distinct_sorted": (lambda a, n: A.deduplicate(a), "list_sort(list_distinct(a))"),
+    "zipped": (lambda a, n: F.transform(A.zip_arrays(a, n), lambda z: F.concat(z["a"], z["b"].cast("string"))), "list_transform(a, lambda t: t || length(t))"),
+    "lowest": (lambda a, n: F.array(A.min_max(n)["min"], A.min_max(n)["max"]), "[list_min(n), list_max(n)]"),
+    "found": (lambda a, n: F.array(A.contains(a, "the").cast("int")), "[list_contains(a, 'the')::INT]"),
+}
+_ARRAY_SQL = ", ".join(f"md5(array_to_string({sql}, chr(2))) AS {k}" for k, (_, sql) in _ARRAYS.items())
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, text, {_LIST}[1:8] AS a FROM documents WHERE text IS NOT NULL), q AS (SELECT *, list_transform(a, lambda t: length(t)) AS n FROM p)
+SELECT doc_id, {_ARRAY_SQL}, CASE WHEN position('the' IN text) > 0 THEN strlen(substr(text, 1, position('the' IN text) - 1)) END::INT AS byte_index, strlen(substr(text, 1, 20))::INT AS bytes_of_20, length(substr(text, 1, 20))::INT AS chars_back FROM q
+""")
+def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).where("text is not null").select("doc_id", "text", F.slice(T.Whitespace().column(F.col("text")), 1, 8).alias("a")).withColumn("n", F.transform("a", F.length))
+    made = [F.md5(F.array_join(f(F.col("a"), F.col("n")).cast("array<string>"), "\x02").cast("binary")).alias(k) for k, (f, _) in _ARRAYS.items()]
+    bytes_of_20 = A.char_to_bytes(F.col("text"), F.lit(20))
+    return rows.select("doc_id", *made, A.string_index(F.col("text"), "the").cast("int").alias("byte_index"), bytes_of_20.cast("int").alias("bytes_of_20"), A.byte_to_chars(F.col("text"), bytes_of_20).cast("int").alias("chars_back"))

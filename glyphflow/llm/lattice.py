@@ -12,10 +12,12 @@ tasks; a task never emits pairs but, for each block pair, the weights of links b
 vector and a spanning forest of its links.  A pair that meets in several tables
 counts where it meets first, which both vectors' cell lists tell.
 
-Defined results: null or zero vectors, vectors with null or non-finite components
-and vectors of other lengths than the most common one link with nothing of a
-different length; rows of equal vec_id are separate vectors that share the id's
-component; an empty table gives no rows.
+Defined results: vectors that are null or zero, or hold null or non-finite
+components, link with nothing; vectors of different lengths do not link; a row of
+null vec_id links with nothing and is kept; equal vectors (ties) are linked, and the
+smallest id of a component names it; vectors of any scale and length count whole; rows of
+equal vec_id are separate vectors that share the id's component; columns of any other
+name are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -108,10 +110,16 @@ def cells(x: np.ndarray, tables: int, blocks: int, probes: int, width: float) ->
     return own, near
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length 1, of vectors of any scale: their largest component becomes 1 first."""
+    v = v.astype(float)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def _links(left: dict, right: dict, same: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the pairs of two blocks of a cell that are linked and meet here first."""
-    va, vb = left["v"].astype(float), right["v"].astype(float)
-    cos = (va @ vb.T) / np.maximum(np.outer(np.linalg.norm(va, axis=1), np.linalg.norm(vb, axis=1)), 1e-300)
+    cos = _unit(left["v"]) @ _unit(right["v"]).T
     # a visitor meets members only
     ok = (cos >= least) & (left["own"][:, None] | right["own"][None, :])
     if same:
@@ -150,8 +158,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             sizes = np.array([len(x) for x in v])
             for size in np.unique(sizes):
                 pick = np.flatnonzero(sizes == size)
-                x = np.array([v[i] for i in pick])
-                x = x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
+                x = _unit(np.array([v[i] for i in pick]))
                 own, near = cells(x, tables, blocks, probes, width)
                 listed = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(W.as_long(np.ascontiguousarray(a)).ravel()))
                 part = batch.take(pa.array(pick))

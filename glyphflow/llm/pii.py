@@ -9,8 +9,14 @@ counts with at least SUPPORT and MIN_CONFIDENCE; a value's score is
 1 - prod(1 - confidence) over its patterns, 1 for seeds.  Candidates that score
 MIN_SCORE in such a context become spans of that kind; base spans always stay.
 
-Defined results: null text counts as empty and has no spans; repeated rows get
-equal results; a null doc_id is carried through; an empty table gives no rows.
+Candidates are tokens of 5 to 64 characters (before trimming marks, 96): longer ones are
+not identifiers of these kinds.
+
+Defined results: null text counts as empty and has no spans; very long texts count
+whole; of overlapping spans the first one's kind stands for both in a redacted text,
+and of equal scores the first kind as listed wins (ties); repeated rows get equal
+results; a null doc_id is carried through; columns of any other name are carried through
+by ``redact`` and left out by the others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +38,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Whitespace-delimited tokens with a digit or an at sign.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 OPENING, CLOSING = r"^[\"'(<\[{=:,.;*]*+", r"[\"')>\]},.;:!?*&$%#]*$"
+#: Matches of a text whose positions are summed in one fold.
+BLOCK = 256
 ROUNDS, SUPPORT, MIN_CONFIDENCE, MIN_SCORE, CONTEXT = 2, 3, 0.5, 0.6, 64
 _SPANS = "array<struct<s:int,e:int,k:int,v:string>>"
 
@@ -53,19 +61,38 @@ def _octets(v: Column) -> Column:
     return v.rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once for each row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _find(text: Column, pattern: str, kind: int, keep) -> Column:
-    """Spans (s, e, k, v) of the matches that ``keep``; text between matches comes from a split by the same pattern."""
+    """Spans (s, e, k, v) of the matches that ``keep``; text between matches comes from a split by the same pattern.
+
+    Positions are prefix sums over blocks of BLOCK matches, whose own starts are summed first: a fold copies its array for
+    each element, so one over all matches of a text would take time in the square of their number.
+    """
     parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(F.length(g).alias("skip"), m.alias("v")))
+    size = lambda x: x["skip"] + F.coalesce(F.length(x["v"]), F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + x["skip"]
         span = F.array(F.struct(start.alias("s"), (start + F.length(x["v"])).alias("e"), F.lit(kind).alias("k"), x["v"].alias("v")))
-        return F.struct(
-            (start + F.coalesce(F.length(x["v"]), F.lit(0))).alias("pos"),
-            F.when(x["v"].isNotNull() & keep(x["v"]), F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"),
-        )
+        return F.struct((acc["pos"] + size(x)).alias("pos"), F.when(x["v"].isNotNull() & keep(x["v"]), F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    def spans(block: Column, start: Column) -> Column:
+        return F.aggregate(block, F.struct(start.alias("pos"), F.array().cast(_SPANS).alias("out")), step, lambda acc: acc["out"])
+
+    def all_blocks(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + size(x)))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return _let(starts, lambda at: F.flatten(F.transform(blocks, lambda b, i: spans(b, F.get(at, i)))))
+
+    def blocks_of(p: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda i: F.slice(p, i * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(p) <= BLOCK, spans(p, F.lit(0))).otherwise(_let(cut, all_blocks))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("pos"), F.array().cast(_SPANS).alias("out")), step, lambda acc: acc["out"])
+    return _let(parts, blocks_of)
 
 
 def base_spans(text: Column) -> Column:
@@ -183,8 +210,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     def step(acc: Column, x: Column) -> Column:
         fresh = x["s"] >= acc["pos"]
         piece = F.when(fresh, F.concat(F.substring(text, acc["pos"] + 1, x["s"] - acc["pos"]), tag(x["k"]))).otherwise("")
-        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.concat(acc["out"], piece).alias("out"))
+        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.concat(acc["out"], F.array(piece)).alias("out"))
 
-    clean = F.aggregate(found, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
+    # the pieces are joined once, at the end
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
+    clean = F.aggregate(found, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["pos"] + 1, F.length(text))))
     joined = docs.withColumn(own, key(F.col(id_col), text)).join(spans, own, "left")
     return joined.select(*[F.when(F.col(found).isNotNull(), clean).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -689,3 +689,69 @@ def test_mixing(spark, docs, odd, empty):
     assert len(mixing.report(odd.select("doc_id", "text", "source")).collect()) == 12
     assert {tuple(r)[5:] for r in mixing.mix(odd).collect()} == {tuple(r)[5:] for r in odd.collect()}
     assert mixing.mix(odd).columns == odd.columns and mixing.mix(empty).count() == 0 and mixing.report(empty).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    """Positions are right beyond one block of matches."""
+    from glyphflow.llm import pii
+
+    text = " ".join(f"u{i}@x.org 10.0.{i % 300}.{i % 256}" for i in range(1500))
+    r = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = base_spans(text)
+    assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest() and r["n_email"] == 1500
+
+
+def test_links_of_vectors_of_any_scale(spark):
+    from glyphflow.llm import lattice
+
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((200, 64))
+    rows, want = [], Counter()
+    for i, v in enumerate(base):
+        noise = rng.standard_normal(64)
+        noise -= noise @ v / (v @ v) * v
+        cos = 0.9005 + 0.02 * rng.random()
+        near = cos * v / np.linalg.norm(v) + (1 - cos * cos) ** 0.5 * noise / np.linalg.norm(noise)
+        scale = 10.0 ** int(rng.integers(-160, 160))
+        rows += [(2 * i, (v * scale).tolist()), (2 * i + 1, (near / scale).tolist())]
+    got = {r["vec_id"]: r["n_links"] for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    unit = np.array([np.array(v) / np.abs(v).max() for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    found = sum(min(got[i], int(links[i])) for i in got)
+    assert all(got[i] <= links[i] for i in got) and found >= 0.95 * links.sum() > 0  # pairs at the threshold: recall
+
+
+def test_passages_of_hot_windows(spark, monkeypatch):
+    """The way for minimisers of many runs finds the same passages."""
+    from glyphflow.llm import chaining
+
+    rng = np.random.default_rng(2)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    passage = word(70)
+    table = spark.createDataFrame([(i, f"{word(30 + i)} {passage} {word(20)}") for i in range(30)], "doc_id long, text string").repartition(3)
+    cold = {(r["doc_id"], r["start_word"], r["end_word"]) for r in chaining.repeated_passages(table).collect()}
+    monkeypatch.setattr(chaining, "HOT_RUNS", 3)
+    hot = {(r["doc_id"], r["start_word"], r["end_word"]) for r in chaining.repeated_passages(table).collect()}
+    assert cold == hot and len({d for d, *_ in hot}) == 29 and all(e - s >= 70 for _, s, e in hot)
+
+
+@pytest.mark.parametrize(("identity", "least"), [(0.95, 0.95), (0.9, 0.75), (0.85, 0.4)])
+def test_fuzzy_passages(spark, identity, least):
+    """Recall of planted 150-word passages with substituted words; the method needs two seeds in a chain."""
+    from glyphflow.llm import chaining
+
+    rng = np.random.default_rng(int(identity * 100))
+    rows, n = [], 60
+    for i in range(n):
+        p = [f"p{x}" for x in rng.integers(0, 100_000, 150)]
+        q = list(p)
+        for at in rng.choice(150, round(150 * (1 - identity)), replace=False):
+            q[at] = f"q{at}x{i}"
+        other = lambda: [f"o{x}" for x in rng.integers(0, 100_000, 40)]
+        rows += [(2 * i, " ".join(other() + p + other())), (2 * i + 1, " ".join(other() + q + other()))]
+    got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = {frozenset((r["doc_id"], r["src_doc_id"])) for r in got}
+    right = {frozenset((2 * i, 2 * i + 1)) for i in range(n)}
+    assert pairs <= right
+    assert len(pairs) >= least * n, len(pairs) / n

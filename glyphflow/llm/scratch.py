@@ -51,13 +51,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete scratch tables that nothing reads any more."""
+    """Delete scratch tables that nothing reads any more.
+
+    The shuffle files that made them go when the driver's garbage is collected, so that is asked for.
+    """
     for df in tables:
         path = df.__dict__.pop("_scratch", None)
         if path:
             context = df.sparkSession.sparkContext
             where = context._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+            context._jvm.System.gc()
 
 
 def fresh(columns: list[str], *wanted: str) -> list[str]:

@@ -162,3 +162,53 @@ def test_entry_without_the_optional_subpackage(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert "word_counts" in entry.queries() and not any(q.startswith("op") for q in entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     sys.modules.pop("__spark_entry__", None)
+
+
+BATCH_TEXTS = ["", " ", "  a", "a  \n b", "\n\nx\f y\x0b z", "don't  stop", "é a \u0308x b", "日本 語", "Σ ΑΣ İ", "\x01a\x00 b", "a\u00a0b", "'s it's", "▁x ▁", "ﬁ ½", " \u0308", "x don't", "the end, the END."]
+
+
+@pytest.mark.parametrize("add", [True, False])
+def test_batches_match_the_kernel(add):
+    """Encoding by segments gives what encoding text by text gives, in every field."""
+    import random
+
+    import pyarrow as pa
+
+    from glyphflow.operators import models as M
+    from glyphflow.operators import normalizers as N
+    from glyphflow.operators import pretokenizers as T
+    from glyphflow.operators import processors as R
+    from glyphflow.plans import batches as B
+    from glyphflow.plans.pipeline import FIELDS, Pipeline, _record
+
+    rnd = random.Random(3)
+    texts = BATCH_TEXTS + ["".join(rnd.choice(" \n\t\f'sdaAé1!_▁\u0308日") for _ in range(rnd.randrange(30))) for _ in range(60)]
+    words = M.WordLevel({"<unk>": 0})
+    chars = sorted({c for t in texts for c in t.lower()})
+    pieces = M.WordPiece({"[UNK]": 0} | {c: i + 1 for i, c in enumerate(chars)} | {f"##{c}": 1000 + i for i, c in enumerate(chars)})
+    level = M.BPE({c: b for b, c in T.BYTE_TO_CHAR.items()}, {})
+    template = R.TemplateProcessing.of("[CLS] $A [SEP]", None, {"[CLS]": ([101], ["[CLS]"]), "[SEP]": ([102, 103], ["[SEP]", "x"])})
+    cases = [
+        (words, None, T.Whitespace(), None), (words, N.Lowercase(), T.WhitespaceSplit(), None), (pieces, N.Bert(), T.Bert(), R.BertProcessing()), (pieces, N.Bert(strip_accents=True), T.Bert(), template),
+        (level, None, T.ByteLevel(False), R.ByteLevelProcessing(True, False)), (level, None, T.ByteLevel(True), R.ByteLevelProcessing(True, True)), (level, N.Lowercase(), T.ByteLevel(True), R.RobertaProcessing()),
+        (words, None, T.Metaspace(), None), (words, N.Unicode("NFC"), T.Metaspace(scheme="never"), None), (words, N.Unicode("NFKC"), T.Whitespace(), None), (words, N.Replace("a", "bb"), T.Whitespace(), None), (words, None, None, None),
+    ]
+    for case in cases:
+        for p in (Pipeline(*case), Pipeline(*case).with_special_tokens("don", "x")):
+            got = B.encode(B.Segments(p), pa.array([None, *texts]), B.frame(p.processor, add), FIELDS).to_pylist()
+            for text, row in zip(["", *texts], got, strict=True):
+                want = _record(p.encode_one(text, None, add))
+                assert row | {"sequence_ranges": list(row["sequence_ranges"])} == want, (case, text)
+
+
+def test_pieces_keep_every_character(spark):
+    from glyphflow.operators import pretokenizers as T
+
+    table = spark.createDataFrame([("a\x01b-c--d",), ("",), ("--",)], "t string")
+    for behavior in ("removed", "isolated", "contiguous", "merged_with_previous", "merged_with_next"):
+        for inverted in (False, True):
+            stage = T.Split("-", behavior, inverted)
+            for r in table.select("t", stage.column(F.col("t")).alias("p")).collect():
+                from glyphflow.functions.aligned import Aligned
+
+                assert r["p"] == [x.text for x in stage.split(Aligned.of(r["t"])) if x.text] or (behavior == "contiguous" and inverted), (behavior, inverted, r)

@@ -29,20 +29,20 @@ from pyspark.sql import types as T
 from .scratch import materialize
 from .token_pieces import Encoder
 
-CAPACITY, TOKENIZER = 2048, "word_bpe_49k.json"
+CAPACITY, ENCODER_FILE = 2048, "word_bpe_49k.json"
 ITERATIONS = 150
 #: About so many pieces are numbered by one window group.
 GROUP = 50_000
 _TEXTS = 2_000_000
 
 
-def cut(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def cut(docs: DataFrame, encoder_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each piece of each text's ids."""
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.IntegerType() if c == "piece" else T.LongType()) for c in ("piece", "start", "length", "ids_crc32"))])
 
     def pieces(batches):
-        encoder = Encoder.of(tokenizer_path)
+        encoder = Encoder.of(encoder_path)
         for batch in batches:
             texts, at = [x or "" for x in batch.column(1).to_pylist()], 0
             while at < len(texts):

@@ -35,8 +35,8 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "kept")
 
 
-def tokenizer_path(name: str = packing.TOKENIZER) -> str:
-    """Place of a public tokenizer's file; found on the driver, passed on as a parameter."""
+def encoder_path(name: str = packing.ENCODER_FILE) -> str:
+    """Place of a public encoder's file; found on the driver, passed on as a parameter."""
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
@@ -44,7 +44,7 @@ def tokenizer_path(name: str = packing.TOKENIZER) -> str:
 
 @query
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.cut(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()))
+    return packing.pack(packing.cut(table(spark, sf_dir, "documents").select("doc_id", "text"), encoder_path()))
 
 
 @query

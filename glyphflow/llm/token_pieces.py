@@ -1,12 +1,12 @@
-"""Token ids of whole texts by a public tokenizer, cut into pieces.
+"""Token ids of whole texts by a public encoder, cut into pieces.
 
-The tokenizer splits a text into runs (letters, one digit, other marks) that are
+The encoder splits a text into runs (letters, one digit, other marks) that are
 encoded apart from each other, so the ids of a text are the ids of its runs in
 order.  Runs are found and hashed with numpy; only runs that the worker has not
-met yet go through the tokenizer, and every text is assembled from that table.
-Texts that hold one of the tokenizer's added tokens go through it whole, and so do
+met yet go through the encoder, and every text is assembled from that table.
+Texts that hold one of the encoder's added tokens go through it whole, and so do
 texts with a character that Python's Unicode tables do not know but the
-tokenizer's may.
+encoder's may.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from . import words as W
 MAX_RUNS = 1_000_000
 END_ID = 0
 _LETTER, _NUMBER, _SPACE, _OTHER, _UNASSIGNED = 1, 2, 3, 4, 5
-# White space as the tokenizer's patterns see it: the Unicode White_Space property.
+# White space as the encoder's patterns see it: the Unicode White_Space property.
 _SPACES = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-# Contractions that the tokenizer cuts off as runs of their own.
+# Contractions that the encoder cuts off as runs of their own.
 _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
@@ -51,8 +51,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.inner = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.inner.get_added_tokens_decoder().values()]
         self.classes = _classes()
         self.clear()
 
@@ -90,7 +90,7 @@ class Encoder:
         return bool((self.classes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)] == _UNASSIGNED).any())
 
     def _learn(self, runs: list[str], hashes: np.ndarray) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+        ids = [e.ids for e in self.inner.encode_batch_fast(runs, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         flat = np.fromiter((x for y in ids for x in y), dtype=np.uint32, count=int(size.sum()))
         first = len(self.pool) + np.cumsum(size) - size
@@ -105,7 +105,7 @@ class Encoder:
         whole = [i for i, t in enumerate(texts) if any(a in t or a in t.lower() for a in self.added) or not t.isascii() and self._unassigned(t)]
         if not whole:
             return self._encode(texts)
-        own = dict(zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True))
+        own = dict(zip(whole, self.inner.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True))
         ids, offsets = self._encode(["" if i in own else t for i, t in enumerate(texts)])
         parts = [np.array([*own[i].ids, END_ID], dtype=np.uint32) if i in own else ids[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
         return np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]

@@ -203,15 +203,15 @@ def check_packing(rows):
 
 def test_packing(spark, texts, odd, empty):
     from glyphflow.llm import packing
-    from glyphflow.llm.queries import op2_packing, tokenizer_path
+    from glyphflow.llm.queries import op2_packing, encoder_path
 
     rows = op2_packing(spark, SF).collect()
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == pieces_of(texts.items())
     assert check_packing(rows) <= -(-sum(r["length"] for r in rows) // 2048) + 1
-    rows = packing.pack(packing.cut(odd, tokenizer_path())).collect()
+    rows = packing.pack(packing.cut(odd, encoder_path())).collect()
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == pieces_of([(r["doc_id"], r["text"]) for r in odd.collect()])
     check_packing(rows)
-    assert packing.pack(packing.cut(empty, tokenizer_path())).count() == 0
+    assert packing.pack(packing.cut(empty, encoder_path())).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -237,40 +237,40 @@ def test_packing_plan_is_no_worse_than_best_fit(draw):
     assert sum(c for _, c in packing.plan(h)) <= plain
 
 
-def test_encoder_matches_tokenizer():
-    from glyphflow.llm.queries import tokenizer_path
+def test_encoder_matches_the_library():
+    from glyphflow.llm.queries import encoder_path
     from glyphflow.llm.token_pieces import Encoder
 
-    e = Encoder.of(tokenizer_path())
+    e = Encoder.of(encoder_path())
     texts = ["", "it's don't 'sed l'machine ''s we'RE they'll", "ΑΣ İ ﬁ ½ Ⅷ é \x1cx\x1f z\x85w", "'", "s", "a'", "12 345a6 ' t", "日本 😁😁!? <|endoftext|>x", "don'", "t", "foo's'll'x"]
     ids, offsets = e.encode(texts)
-    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [[*e.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [[*e.inner.encode(t, add_special_tokens=False).ids, 0] for t in texts]
 
 
 def test_encoder_on_every_character():
     """Letters to the end of Unicode, newer ones than Python knows among them, and special tokens between."""
-    from glyphflow.llm.queries import tokenizer_path
+    from glyphflow.llm.queries import encoder_path
     from glyphflow.llm.token_pieces import Encoder
 
-    e = Encoder(tokenizer_path())
+    e = Encoder(encoder_path())
     every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or c % 7 == 0 or 0x1C80 <= c % 0x10000 < 0x1C90)]
     rng = np.random.default_rng(5)
     rng.shuffle(every)
     texts = ["".join(f"a{c}{c}b 1" for c in every[i : i + 40]) + (" <|endoftext|> z" if i % 400 == 0 else "") for i in range(0, len(every), 40)]
     ids, offsets = e.encode(texts)
-    want = [[*x.ids, 0] for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    want = [[*x.ids, 0] for x in e.inner.encode_batch(texts, add_special_tokens=False)]
     wrong = [t for t, a, b, w in zip(texts, offsets, offsets[1:], want, strict=False) if ids[a:b].tolist() != w]
     assert not wrong, [(hex(ord(c)), c) for t in wrong[:3] for c in t if not c.isascii()]
 
 
 def test_added_tokens_keep_their_ids():
-    from glyphflow.llm.queries import tokenizer_path
+    from glyphflow.llm.queries import encoder_path
     from glyphflow.llm.token_pieces import Encoder
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(tokenizer_path())
+    plain = Tokenizer.from_file(encoder_path())
     texts = ["a b", "one <|endoftext|> two", "", "<|startoftext|>x<|endoftext|>", "<|ENDOFTEXT|> It's 12", "c"]
-    ids, offsets = Encoder(tokenizer_path()).encode(texts)
+    ids, offsets = Encoder(encoder_path()).encode(texts)
     assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
     assert ids[offsets[1] : offsets[2]].tolist() == [637, 49407, 1237, 0]
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphflow.llm import minhash, mixing, packing, pii, quality
-from glyphflow.llm.queries import table, tokenizer_path
+from glyphflow.llm.queries import table, encoder_path
 from glyphflow.llm.scratch import fresh, materialize, release
 
 #: Documents that score lower are rejected.
@@ -65,7 +65,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 2048 tokens."""
-    return packing.pack(packing.cut(docs, tokenizer_path()))
+    return packing.pack(packing.cut(docs, encoder_path()))
 
 
 STAGES = [

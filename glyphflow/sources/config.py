@@ -1,4 +1,4 @@
-"""Pipelines from tokenizer configurations (tokenizer.json), and back.
+"""Pipelines from encoder configurations (tokenizer.json), and back.
 
 A factory checks the keys that it needs and names the one that is missing; JSON
 null counts as absent.
@@ -106,7 +106,7 @@ def create_pretokenizer(config: dict | None):
         "Sequence": lambda: T.Sequence(tuple(map(create_pretokenizer, p.need("pretokenizers")))),
     }
     if kind not in make:
-        raise ValueError(f"no pre-tokenizer {kind!r}")
+        raise ValueError(f"no pre-encoder {kind!r}")
     return make[kind]()
 
 

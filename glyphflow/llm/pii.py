@@ -9,8 +9,9 @@ counts with at least SUPPORT and MIN_CONFIDENCE; a value's score is
 1 - prod(1 - confidence) over its patterns, 1 for seeds.  Candidates that score
 MIN_SCORE in such a context become spans of that kind; base spans always stay.
 
-Candidates are tokens of 5 to 64 characters (before trimming marks, 96): longer ones are
-not identifiers of these kinds.
+Candidates have at least 5 characters and, but for those with an at sign, 3 digits.  Groups of digits with one
+space between them (a number in brackets first, hyphens within) are one candidate, any other is a
+word of the text; marks around it do not count.
 
 Defined results: null text counts as empty and has no spans; very long texts count
 whole; of overlapping spans the first one's kind stands for both in a redacted text,
@@ -35,9 +36,12 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Whitespace-delimited tokens with a digit or an at sign.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-OPENING, CLOSING = r"^[\"'(<\[{=:,.;*]*+", r"[\"')>\]},.;:!?*&$%#]*$"
+# Marks before and after a token; a bracket that holds the first digits of a number belongs to it.
+_BEFORE, _AFTER = r"(?:(?!\([0-9]++\)[\x20-]?[0-9])[\"'(<\[{=:,.;*])*+", r"[\"')>\]},.;:!?*&$%#]"
+_GROUP = r"(?:\([0-9]++\)|[0-9]++)(?:-[0-9]++)*+"
+#: Groups of digits with single spaces between them, or else whitespace-delimited tokens with a digit or an at sign.
+TOKEN = rf"(?<![^\x20\x09-\x0D])(?:{_BEFORE}{_GROUP}(?:\x20{_GROUP}(?={_AFTER}*+(?![^\x20\x09-\x0D])))++|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
+OPENING, CLOSING = f"^{_BEFORE}", f"(?<!{_AFTER}){_AFTER}++$"
 #: Matches of a text whose positions are summed in one fold.
 BLOCK = 256
 ROUNDS, SUPPORT, MIN_CONFIDENCE, MIN_SCORE, CONTEXT = 2, 3, 0.5, 0.6, 64
@@ -119,8 +123,8 @@ def _tokens(text: Column) -> Column:
         return F.struct((x["s"] + head).alias("s"), (x["s"] + head + F.length(v)).alias("e"), x["k"].alias("k"), v.alias("v"))
 
     text = F.coalesce(text.cast("string"), F.lit(""))
-    good = lambda x: F.length(x["v"]).between(5, 64) & ((F.length(_digits(x["v"])) >= 3) | F.contains(x["v"], F.lit("@")))
-    found = F.when(text.rlike("[0-9@]"), _find(text, TOKEN, -1, lambda v: F.length(v).between(5, 96))).otherwise(F.array().cast(_SPANS))
+    good = lambda x: (F.length(x["v"]) >= 5) & ((F.length(_digits(x["v"])) >= 3) | F.contains(x["v"], F.lit("@")))
+    found = F.when(text.rlike("[0-9@]"), _find(text, TOKEN, -1, lambda v: F.length(v) >= 5)).otherwise(F.array().cast(_SPANS))
     return F.filter(F.transform(found, trim), good)
 
 

@@ -641,6 +641,12 @@ def test_bootstrapping_and_redaction(spark, empty):
     clean = {r["doc_id"]: r["text"] for r in pii.redact(table).collect()}
     assert clean[100] == "note please call me on [PHONE] today" and clean[101] == rows[-1][1] and "555" not in clean[5]
     assert pii.redact(empty).columns == empty.columns
+    groups = ["212 555 0199", "(212) 555-0199", "4111 1111 1111 1112", "555-0199-" * 20 + "7", "212 555 0199"]
+    rows = rows[:12] + [(200 + i, f"so call me on {g}{mark} 7 days") for i, (g, mark) in enumerate(zip(groups, [" or", ",", ".", ")", " 10.0.0.1"], strict=True))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.report(table).collect()}
+    assert [spans[200 + i].split(",")[0] for i in range(5)] == [f"phone:14:{14 + len(g)}" for g in groups] and spans[204] == "phone:14:26,ip:27:35"
+    assert {r["text"] for r in pii.redact(table).where("doc_id = 201").collect()} == {"so call me on [PHONE], 7 days"}
 
 
 # 10

@@ -735,11 +735,16 @@ def test_passages_of_hot_windows(spark, monkeypatch):
     rng = np.random.default_rng(2)
     word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
     passage = word(70)
-    table = spark.createDataFrame([(i, f"{word(30 + i)} {passage} {word(20)}") for i in range(30)], "doc_id long, text string").repartition(3)
+    rows = [(i, f"{word(30 + i)} {passage} {word(20)}") for i in range(30)]
+    rows += [(100 + i, f"{word(10)} {'to and fro ' * (30 + 40 * i)} {word(10)}") for i in range(6)]  # equal windows in one text
+    rows += [(200 + i, f"{word(9)} {' '.join(passage.split()[i : i + 55])} {word(9)}") for i in range(6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     cold = {(r["doc_id"], r["start_word"], r["end_word"]) for r in chaining.repeated_passages(table).collect()}
     monkeypatch.setattr(chaining, "HOT_RUNS", 3)
     hot = {(r["doc_id"], r["start_word"], r["end_word"]) for r in chaining.repeated_passages(table).collect()}
-    assert cold == hot and len({d for d, *_ in hot}) == 29 and all(e - s >= 70 for _, s, e in hot)
+    covered = lambda found: {(d, w) for d, s, e in found for w in range(s, e)}
+    assert covered(cold) == covered(hot) and len({d for d, *_ in hot if d < 100 or d >= 200}) == 35 and len({d for d, *_ in hot if 100 <= d < 200}) == 5
+    assert all(e - s >= 50 for _, s, e in hot)
 
 
 @pytest.mark.parametrize(("identity", "least"), [(0.95, 0.95), (0.9, 0.75), (0.85, 0.4)])

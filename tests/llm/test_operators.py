@@ -766,3 +766,23 @@ def test_fuzzy_passages(spark, identity, least):
     right = {frozenset((2 * i, 2 * i + 1)) for i in range(n)}
     assert pairs <= right
     assert len(pairs) >= least * n, len(pairs) / n
+
+
+@pytest.mark.parametrize("hot", [64, 3])
+def test_fuzzy_passages_whose_pieces_are_frequent(spark, monkeypatch, hot):
+    """60-word passages with nine substituted words, whose pieces all stand in other texts too: every pair is found."""
+    from glyphflow.llm import chaining
+
+    monkeypatch.setattr(chaining, "HOT_PLACES", hot, raising=False)
+    rng, rows, n = np.random.default_rng(3), [], 30
+    other = lambda k: [f"o{x}" for x in rng.integers(0, 10**9, k)]
+    for i in range(n):
+        p = [f"p{x}" for x in rng.integers(0, 100_000, 60)]
+        q = list(p)
+        for at in 1 + rng.choice(58, 9, replace=False):
+            q[at] = f"q{at}x{i}"
+        rows += [(2 * i, " ".join(other(40) + p + other(40))), (2 * i + 1, " ".join(other(40) + q + other(40)))]
+        rows += [(1000 + 100 * i + 10 * c + at // 10, " ".join(other(30) + p[at : at + 14] + other(30))) for c in range(3) for at in range(0, 50, 10)]
+    got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {frozenset((r["doc_id"], r["src_doc_id"])) for r in got} == {frozenset((2 * i, 2 * i + 1)) for i in range(n)}
+    assert all(r["end_word"] - r["start_word"] >= 50 and r["identity"] >= 0.8 for r in got)

@@ -145,18 +145,22 @@ def near_links(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     First every member of a bucket is compared with the bucket's pivot.  Then buckets that still hold members of
     several components are compared block by block, and every block pair returns a spanning forest of its links.
+    Shingle sets are moved only of representatives that share a bucket; the others have nothing to be compared with.
     """
-    exploded = reps.select(F.explode("bands").alias("bucket"), "rep").distinct()
+    keys = materialize(reps.select("rep", "bands"), "bands")
+    exploded = keys.select(F.explode("bands").alias("bucket"), "rep").distinct()
     size = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).where("n > 1")
     member = materialize(exploded.join(size, "bucket"), "buckets")
+    release(keys)
+    sets = materialize(reps.join(member.select("rep").distinct(), "rep", "left_semi").select("rep", "grams"), "sets")
     first = member.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialize(_compare(first, reps).where(F.col("sim") >= similarity).select("a", "b"), "links")
+    links = materialize(_compare(first, sets).where(F.col("sim") >= similarity).select("a", "b"), "links")
     comp = components(links).select(F.col("id").alias("rep"), F.col("component").alias("c"))
     named = materialize(member.join(comp, "rep", "left").select("bucket", "rep", "n", F.coalesce("c", "rep").alias("c")), "named")
     release(member)
     mixed = named.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
-    more = materialize(_compare_blocks(named.join(mixed, "bucket"), reps, similarity), "more")
-    release(named)
+    more = materialize(_compare_blocks(named.join(mixed, "bucket"), sets, similarity), "more")
+    release(named, sets)
     return links.unionByName(more)
 
 
@@ -225,13 +229,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = sketch(docs, id_col, text_col, bands, rows).withColumn("row_id", F.monotonically_increasing_id())
     table = materialize(table, "sketch")
     key = F.coalesce(F.col("doc_id").cast("long"), -1 - F.col("row_id"))
-    named = table.withColumn("key", key)
-    classes = named.groupBy("d1", "d2").agg(F.min("key").alias("rep"), F.min_by(F.col("row_id"), F.struct("key", "row_id")).alias("first_row"))
+    classes = table.withColumn("key", key).groupBy("d1", "d2").agg(F.min("key").alias("rep"), F.min_by(F.col("row_id"), F.struct("key", "row_id")).alias("first_row"))
     classes = materialize(classes, "classes")
     reps = table.select(F.col("row_id").alias("first_row"), "bands", "grams").where(F.size("grams") > 0).join(classes, "first_row").select("rep", "bands", "grams")
-    reps = materialize(reps, "representatives")
-    comp = components(near_links(reps, similarity))
-    release(reps)
+    links = near_links(reps, similarity)
+    light = materialize(table.select("row_id", "doc_id", "text_key", "d1", "d2"), "rows")
+    release(table)
+    comp = components(links)
     classes = classes.join(comp.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left").select("d1", "d2", F.coalesce("c", "rep").alias("class_id"), "first_row", "rep")
-    out = named.select("row_id", "doc_id", "text_key", "d1", "d2").join(classes, ["d1", "d2"])
+    out = light.join(classes, ["d1", "d2"])
     return out.select("row_id", "doc_id", "text_key", "class_id", ((F.col("row_id") == F.col("first_row")) & (F.col("rep") == F.col("class_id"))).alias("kept"))

@@ -508,6 +508,30 @@ def test_hot_bucket_of_near_copies(spark):
     assert got == components(list(sets), pairs)
 
 
+def test_shingle_sets_are_moved_only_where_compared(spark, monkeypatch):
+    """Sets of texts that share no bucket are not written again, and the sketch is gone when the classes are known."""
+    import os
+
+    from glyphflow.llm import minhash
+
+    rows = [(i, " ".join(f"t{i}w{k}" for k in range(60))) for i in range(40)]
+    rows += [(100, rows[7][1] + " end"), (101, rows[7][1])]
+    kept, moved, real = {}, {}, minhash.materialize
+
+    def spy(df, name):
+        out = real(df, name)
+        kept[name] = out
+        if "grams" in df.columns:
+            moved[name] = sorted(r[0] for r in out.select(out.columns[0]).collect())
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", spy)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 7 if i > 99 else i for i, _ in rows}
+    assert len(moved.pop("sketch")) == 42 and list(moved.values()) == [[7, 100]]
+    assert all(not os.path.exists(f.removeprefix("file://")) for f in kept["sketch"].inputFiles())
+
+
 # 8
 
 

@@ -810,3 +810,51 @@ def test_fuzzy_passages_whose_pieces_are_frequent(spark, monkeypatch, hot):
     got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {frozenset((r["doc_id"], r["src_doc_id"])) for r in got} == {frozenset((2 * i, 2 * i + 1)) for i in range(n)}
     assert all(r["end_word"] - r["start_word"] >= 50 and r["identity"] >= 0.8 for r in got)
+
+
+def test_seeds_take_little_disk(spark, monkeypatch):
+    """From the seeds to the chains, shuffles write a few bytes a place, and the shuffles before are gone."""
+    import os
+
+    from glyphflow.llm import chaining
+
+    rng, rows = np.random.default_rng(12), []
+    for i in range(0, 240, 2):
+        a = [f"w{rng.integers(1 << 30)}" for _ in range(400)]
+        b = [f"v{rng.integers(1 << 30)}" if rng.random() < 0.05 else w for w in a]
+        rows += [(i, " ".join(a)), (i + 1, " ".join(b))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    folders = [f.toString() for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    real, seen = chaining.materialize, {}
+
+    def shuffled():
+        return {os.path.join(d, f) for folder in folders for d, _, names in os.walk(folder) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+    def spy(df, name):
+        before = shuffled()
+        out = real(df, name)
+        if name in ("seeds", "chains"):
+            seen[name] = {f: os.path.getsize(f) for f in shuffled() - before}
+            seen["left"] = [f for f in seen["seeds"] if os.path.exists(f)]
+        return out
+
+    monkeypatch.setattr(chaining, "materialize", spy)
+    found = chaining.repeated_passages(table).collect()
+    assert {(r["src_doc_id"], r["doc_id"]) for r in found} | {(r["doc_id"], r["src_doc_id"]) for r in found} >= {(i, i + 1) for i in range(0, 240, 2)}
+    places = sum(1 for i in range(0, 240, 2) for a, b in [(rows[i][1].split(), rows[i + 1][1].split())] for k in range(397) if a[k : k + 4] == b[k : k + 4]) * 2
+    assert seen["left"] == [] and sum(seen["chains"].values()) < 40 * places, (sum(seen["chains"].values()) / places, seen["left"])
+
+
+def test_counts_of_common_hot_places():
+    """Never fewer than are common, nor more than either side has."""
+    from glyphflow.llm import chaining
+
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a, b = (rng.integers(0, 40, int(rng.integers(0, 12))) for _ in range(2))
+        packed = [np.array([sum(min(int((v % 16 == k).sum()), 15) << 4 * k for k in range(16))], dtype=np.uint64) for v in (a, b)]
+        both = sum(min(int((a == k).sum()), int((b == k).sum())) for k in range(40))
+        assert both <= int(chaining._common_hot(*packed)[0]) <= min(len(a), len(b))
+    columns = [np.arange(7), np.arange(7) % 2 == 0, np.arange(7, dtype=np.uint32) << 20]
+    back = chaining._unbundled([chaining._bundled(columns), chaining._bundled([c[:0] for c in columns])], ("i8", "?", "u4"))
+    assert all((u == v).all() for u, v in zip(columns, back, strict=True))

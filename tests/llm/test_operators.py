@@ -858,3 +858,76 @@ def test_counts_of_common_hot_places():
     columns = [np.arange(7), np.arange(7) % 2 == 0, np.arange(7, dtype=np.uint32) << 20]
     back = chaining._unbundled([chaining._bundled(columns), chaining._bundled([c[:0] for c in columns])], ("i8", "?", "u4"))
     assert all((u == v).all() for u, v in zip(columns, back, strict=True))
+
+
+def test_few_chains_of_frequent_lines_and_written_again_words(spark, monkeypatch):
+    """Texts that share a line of 14 words, or runs of one word, and nothing more are not aligned; near copies with both are found whole."""
+    from glyphflow.llm import chaining
+
+    monkeypatch.setattr(chaining, "HOT_PLACES", 20)
+    rng, n, planted = np.random.default_rng(21), 90, 6
+    other = lambda k: [f"o{x}" for x in rng.integers(0, 10**9, k)]
+    line = [f"line{i}" for i in range(14)]
+    texts = [other(40) + line + other(40) + ["of"] * int(rng.integers(10, 16)) + ["the"] * int(rng.integers(10, 16)) + other(40) for _ in range(n)]
+    for i in range(planted):
+        p = other(20) + line + ["of"] * 12 + ["the"] * 11 + other(8)
+        q = list(p)
+        for at in (3, 12, 28, 44, 60):
+            q[at] = f"q{at}x{i}"
+        texts += [other(30) + v + other(30) for v in (p, q)]
+    real, seen = chaining.materialize, {}
+
+    def spy(df, name):
+        out = real(df, name)
+        if name == "chains":
+            seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(chaining, "materialize", spy)
+    got = chaining.repeated_passages(spark.createDataFrame([(i, " ".join(v)) for i, v in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {frozenset((r["doc_id"], r["src_doc_id"])) for r in got} == {frozenset((n + 2 * i, n + 2 * i + 1)) for i in range(planted)}
+    assert all(r["end_word"] - r["start_word"] >= 60 for r in got) and seen["chains"] <= 20 * planted, seen
+    # a long run of one word is covered whole, whichever text its canonical windows are of
+    texts = [other(30) + ["was"] * k + other(30) for k in (120, 75, 52, 148, 60) * 6]
+    covered = covered_words(chaining.repeated_passages(spark.createDataFrame([(i, " ".join(v)) for i, v in enumerate(texts)], "doc_id long, text string")).collect())
+    assert all({w for w in range(len(v)) if v[w] == "was"} <= covered[i] for i, v in enumerate(texts))
+
+
+def test_common_words_of_places():
+    """The bit-parallel counts are those of the plain table; places inside a passage at the threshold always may align."""
+    from glyphflow.llm import chaining
+
+    rng = np.random.default_rng(22)
+    a, b = rng.integers(1, 8, (10, 64)).astype(np.uint8), rng.integers(1, 8, (10, 96)).astype(np.uint8)
+    found = chaining._prefix_commons(a, b)
+    for i in range(10):
+        for r in (0, 1, 7, 40, 64):
+            row = [0] * 97
+            for v in a[i, :r].tolist():
+                before = 0
+                for k, w in enumerate(b[i].tolist(), 1):
+                    before, row[k] = row[k], before + 1 if v == w else max(row[k], row[k - 1])
+            assert found[i, r] == row[-1]
+    a, b = rng.integers(1, 200, (300, 192)).astype(np.uint8), rng.integers(1, 200, (300, 192)).astype(np.uint8)
+    assert not chaining._may_align(a, b, 50).any()
+    for i in range(300):
+        at = 96 - int(rng.integers(0, 47))
+        b[i, at : at + 50] = a[i, at : at + 50]
+        b[i, at + rng.choice(50, 10, replace=False)] = 254
+    assert chaining._may_align(a, b, 50).all()
+
+
+def test_chains_of_rising_places():
+    """Chains made all at once are those made one by one."""
+    from glyphflow.llm import chaining
+
+    rng, places, head, want = np.random.default_rng(23), [], [0], []
+    for _ in range(60):
+        places.append(np.cumsum(rng.choice([1, 1, 1, 2, 9, 40, 70], (int(rng.integers(1, 60)), 2)), axis=0))
+        x, y = places[-1].T
+        head.append(head[-1] + len(x))
+        first = np.zeros(len(x), dtype=bool)
+        first[[c[0] for c in chaining.chains(x, y)]] = True
+        want.append(first)
+    x, y = np.concatenate(places).T
+    assert (chaining._rising_chains(x, y, np.array(head[:-1])) == np.concatenate(want)).all()

@@ -102,6 +102,26 @@ def test_training(spark, texts):
     assert trained.special_tokens() == ["<s>"] and trained.decode_one(trained.encode_one("hey").ids).replace(" ", "") == "hey"
 
 
+@pytest.mark.parametrize("letters", ["ab", "a#b", "abcdeé日😀"])
+def test_training_by_stretches(spark, letters):
+    """The workers' table of words gives the driver's merges, in far fewer jobs than merges."""
+    import random
+    from dataclasses import replace
+
+    rnd = random.Random(1)
+    words = {"".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 12))): rnd.randrange(1, 50) for _ in range(300)}
+    counts = spark.createDataFrame(list(words.items()), "word string, count long")
+    for trainer in (BpeTrainer(60, 2, continuing_subword_prefix="##"), BpeTrainer(60, 0, special_tokens=("<s>", "ab"), limit_alphabet=4, end_of_word_suffix="</w>")):
+        want = trainer.train(counts)
+        group = f"stretches {letters} {trainer.min_frequency}"
+        spark.sparkContext.setJobGroup(group, group)
+        got = replace(trainer, max_driver_words=0).train(counts)
+        spark.sparkContext.setJobGroup("", "")
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        assert list(got.vocab) == list(want.vocab) and list(got.merges.items()) == list(want.merges.items()) and jobs < len(want.merges), jobs
+        assert len(want.merges) > 25
+
+
 def test_files(spark, tmp_path):
     model = C.create_model({"type": "BPE", "vocab": {"a": 0, "b": 1, "ab": 2}, "merges": ["a b"]})
     paths = V.save(spark, model, f"file://{tmp_path}", "m")

@@ -164,6 +164,28 @@ def test_catalog_against_duckdb(spark):
         assert norm(found.select(*cols).collect()) == norm(want), name
 
 
+ODD = ["", " ", " a b", "▁a ▁b", "\n\nq", "\ufeffabc", "  ", "the", "!!! ???", "日本 the 😀", "a\x0bb c", None]
+
+
+def odd_table(folder) -> str:
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(ODD)), pa.int64()), "text": pa.array(ODD, pa.string()), "source": ["s"] * len(ODD)}), f"{folder}/documents.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["array_functions", "metaspace_pieces", "config_pretokenizers"])
+def test_odd_texts_against_duckdb(spark, tmp_path, name):
+    """Empty texts, texts without a word and leading white space, as the SQL has them."""
+    folder = odd_table(tmp_path)
+    found = catalog.QUERIES[name](spark, folder)
+    cols, db = sorted(found.columns), duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = db.sql(f"SELECT {', '.join(cols)} FROM ({catalog.ORACLES[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, found.select(*cols).collect()))) == sorted(map(repr, want))
+
+
 def test_entry_without_the_optional_subpackage(monkeypatch):
     import builtins
     import importlib

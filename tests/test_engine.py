@@ -243,6 +243,34 @@ def test_batches_match_the_kernel(add):
                 assert row | {"sequence_ranges": list(row["sequence_ranges"])} == want, (case, text)
 
 
+def test_a_worker_holds_a_bounded_part(monkeypatch):
+    """Whole texts leave a worker's table, few texts are Python objects at a time, and the results are the same."""
+    import pyarrow as pa
+
+    from glyphflow.plans import batches as B
+
+    p = Pipeline(M.WordLevel({"<unk>": 0}), None, T.Whitespace()).with_special_tokens("x")
+    monkeypatch.setattr(B, "MAX_BYTES", 10_000)
+    texts = [f"x {'ab cd ' * 50}{i}" for i in range(200)]
+    table, rows = B.Segments(p), []
+    for a in range(0, len(texts), 20):
+        rows += B.encode(table, pa.array(texts[a : a + 20]), ([], 0, []), ("ids",)).field("ids").value_lengths().to_pylist()
+        assert table.held <= B.MAX_BYTES + 20 * 400 and len(table.names) <= (B.MAX_BYTES + 20 * 400) / 2
+    assert rows == [102] * len(texts)
+    sizes = []
+    got = B.by_stretches(lambda c: sizes.append(len(c)) or c, pa.string(), pa.array(["ab"] * 100 + [None, "c" * 50, ""]), most=20)
+    assert got.to_pylist() == ["ab"] * 100 + [None, "c" * 50, ""] and max(sizes) <= 12
+
+
+def test_byte_fallback_by_batches(spark):
+    rows = [([104, 105],), ([195, 169],), ([195, 40],), ([],), (None,), ([256, 104],), ([999, 104],)]
+    p = Pipeline(M.BPE({f"<0x{b:02X}>": b for b in range(256)} | {"word": 256}, {}), decoder=D.ByteFallback())
+    got = [r["text"] for r in p.decode(spark.createDataFrame(rows, "ids array<int>").coalesce(1)).collect()]
+    assert got == [None if r[0] is None else p.decode_one(r[0]) for r in rows]
+    texts = spark.createDataFrame([("é日a",), ("",), (None,)], "t string").coalesce(1).select(X.byte_values("t").alias("b")).collect()
+    assert [r["b"] for r in texts] == [list("é日a".encode()), [], None]
+
+
 def test_pieces_keep_every_character(spark):
     from glyphflow.operators import pretokenizers as T
 

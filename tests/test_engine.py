@@ -92,6 +92,17 @@ def test_encoding_columns(spark):
     assert tuple(words["a"]) == (0, 2) and words["b"] is None
 
 
+def test_padding_moves_no_arrays(spark, monkeypatch):
+    """The arrays stay where they are while batches are few; the shuffle beyond that gives the same rows."""
+    df = spark.range(40).selectExpr("id % 3 AS batch", "sequence(0, cast(id AS int)) AS ids")
+    monkeypatch.setattr(E, "MAX_BROADCAST", 10)
+    few = E.pad_to_longest(df, "ids", -1, "batch")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    monkeypatch.setattr(E, "MAX_BROADCAST", 0)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, E.pad_to_longest(df, "ids", -1, "batch").collect()))
+
+
 def test_training(spark, texts):
     counts = word_counts(Pipeline(M.WordLevel({"<unk>": 0}), N.Lowercase(), T.Whitespace()).words(spark.read.parquet(f"{SF}/documents.parquet").limit(5)))
     driver, spread = BpeTrainer(70, 2).train(counts), BpeTrainer(70, 2, max_driver_words=0).train(counts)
